@@ -1,0 +1,21 @@
+"""Broadcast decisions that rest on a measured row count."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from demandgrid.session import materialize
+
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written once and counted; hinted only if it is small enough.
+
+    Beyond the bound the join stays a shuffle join, which AQE splits on skew. File
+    based dimension tables need no call: Spark compares their size by itself with
+    ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    stored = materialize(df, "dim")
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

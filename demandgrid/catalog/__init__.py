@@ -1,6 +1,11 @@
 """All named queries; importing this package fills the registry."""
 
-from demandgrid.catalog import panel_queries  # noqa: F401
+from demandgrid.catalog import (  # noqa: F401
+    feature_queries,
+    forecast_queries,
+    panel_queries,
+    score_queries,
+)
 from demandgrid.catalog.base import CATALOG
 
 __all__ = ["CATALOG"]

@@ -13,65 +13,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandgrid.functions.arrays import STATS, back, known_tail, let
 from demandgrid.functions.errors import decode_target
 from demandgrid.operators.models import FittedPanelModel, Linear
 from demandgrid.operators.prep import recent_history
 from demandgrid.settings import FeatureSettings
 
 
-def _let(value: Column, body) -> Column:
-    """Bind an intermediate value inside a higher-order expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _lag(values: Column, k: int) -> Column:
-    return F.get(values, F.size(values) - k)
-
-
-def _known_tail(values: Column, w: int) -> Column:
-    start = F.greatest(F.size(values) - (w - 1), F.lit(1))
-    return F.filter(F.slice(values, start, F.lit(w)), lambda x: x.isNotNull())
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _mean(v: Column) -> Column:
-    return F.when(F.size(v) > 0, _sum(v) / F.size(v))
-
-
-def _std(v: Column) -> Column:
-    squares = lambda m: _sum(F.transform(v, lambda x: (x - m) * (x - m)))
-    return F.when(
-        F.size(v) > 1, F.sqrt(_let(_mean(v), squares) / F.greatest(F.size(v) - 1, F.lit(1)))
-    )
-
-
-def _median(v: Column) -> Column:
-    s = F.array_sort(v)
-    lo = F.get(s, F.floor((F.size(v) - 1) / 2).cast("int"))
-    hi = F.get(s, F.floor(F.size(v) / 2).cast("int"))
-    return F.when(F.size(v) > 0, (lo + hi) / 2)
-
-
-# fixed values: statistic name -> expression over an array without NULLs
-_STATS = {"mean": _mean, "std": _std, "min": F.array_min, "max": F.array_max, "median": _median}
-
-
 def history_terms(settings: FeatureSettings, col: str) -> dict[str, object]:
     """Feature name -> function of the value array, for lags and rolling columns of ``col``."""
     out = {}
     for k in settings.lags.get(col, ()):
-        out[f"{col}_lag_{k}"] = lambda a, k=k: _lag(a, k)
+        out[f"{col}_lag_{k}"] = lambda a, k=k: back(a, k)
     for roll in settings.rolls:
         if roll.col != col:
             continue
         for w in roll.windows:
             for agg in roll.aggs:
-                stat = _STATS[agg]
-                out[f"{col}_roll_{w}_{agg}"] = lambda a, w=w, stat=stat: _let(
-                    _known_tail(a, w), stat
+                stat = STATS[agg]
+                out[f"{col}_roll_{w}_{agg}"] = lambda a, w=w, stat=stat: let(
+                    known_tail(a, w), stat
                 )
     return out
 

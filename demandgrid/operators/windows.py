@@ -15,19 +15,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from demandgrid.functions.arrays import median
 from demandgrid.operators.ranks import series_position
 from demandgrid.settings import FeatureSettings
 
 MAX_SERIES_ROWS = 200_000
 BLOCK_ROWS = 8_192
 
-# fixed values: statistic name -> aggregate over the preceding rows
+# fixed values: statistic name -> value over a frame of preceding rows
 ROLLING = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "median": F.median,
+    "mean": lambda col, frame: F.avg(col).over(frame),
+    "std": lambda col, frame: F.stddev_samp(col).over(frame),
+    "min": lambda col, frame: F.min(col).over(frame),
+    "max": lambda col, frame: F.max(col).over(frame),
+    # no built-in median takes a frame; the frame's few values are sorted instead
+    "median": lambda col, frame: median(F.collect_list(col).over(frame)),
 }
 
 
@@ -41,7 +43,7 @@ def history_columns(settings: FeatureSettings, w: WindowSpec) -> dict[str, Colum
         for size in roll.windows:
             frame = w.rowsBetween(-size, -1)
             for agg in roll.aggs:
-                out[f"{roll.col}_roll_{size}_{agg}"] = ROLLING[agg](roll.col).over(frame)
+                out[f"{roll.col}_roll_{size}_{agg}"] = ROLLING[agg](roll.col, frame)
     return out
 
 

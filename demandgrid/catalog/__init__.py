@@ -3,7 +3,9 @@
 from demandgrid.catalog import (  # noqa: F401
     feature_queries,
     forecast_queries,
+    model_queries,
     panel_queries,
+    run_queries,
     score_queries,
 )
 from demandgrid.catalog.base import CATALOG

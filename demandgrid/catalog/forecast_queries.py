@@ -162,7 +162,7 @@ cv AS (SELECT p.uid, p.date, c.cutoff, p.sales AS y, n.sales AS naive, s.sales A
 
 
 def _cv(spark, folder):
-    long = long_panel(spark, folder)
+    long = long_panel(spark, folder, stored=True)
     return cross_validate(long, DAYS, ["Naive", "SeasonalNaive"], n_windows=3, step=8)
 
 
@@ -224,7 +224,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     winner, out = refit_winner(
-        long_panel(spark, folder), DAYS, ["Naive", "SeasonalNaive"], n_windows=3, step=8
+        long_panel(spark, folder, stored=True), DAYS, ["Naive", "SeasonalNaive"], n_windows=3, step=8
     )
     return tidy(out.withColumn("model", F.lit(winner)))
 
@@ -239,7 +239,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """Store 4 has no history: its rows get zero and are marked."""
-    long = long_panel(spark, folder)
+    long = long_panel(spark, folder, stored=True)
     train, val = timeseries_split(long, DAYS, "ds")
     fc = seasonal_naive(train.filter("store_nbr <> 4"), DAYS)
     rows = forecast_on_rows(val.select("id", "unique_id", "ds"), fc)
@@ -257,7 +257,7 @@ def _(spark, folder):
 
 @query("holdout_score", sql(f"SELECT {rnd(RMSLE, 'rmsle')} FROM preds", PREDS))
 def _(spark, folder):
-    return tidy(holdout_score(long_panel(spark, folder), "SeasonalNaive", DAYS))
+    return tidy(holdout_score(long_panel(spark, folder, stored=True), "SeasonalNaive", DAYS))
 
 
 def repeat_last_week(values: np.ndarray, known: np.ndarray, horizon: int) -> np.ndarray:
@@ -275,5 +275,6 @@ def repeat_last_week(values: np.ndarray, known: np.ndarray, horizon: int) -> np.
     ),
 )
 def _(spark, folder):
-    out = panel_batch_forecast(long_panel(spark, folder), DAYS, repeat_last_week, 768, chunk=8)
+    out = panel_batch_forecast(
+        long_panel(spark, folder, stored=True), DAYS, repeat_last_week, 768, chunk=8)
     return tidy(out)

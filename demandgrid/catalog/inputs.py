@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandgrid.functions.errors import clamp
 from demandgrid.operators.audit import enrich_holdout
 from demandgrid.operators.joins import merge_dimensions
 from demandgrid.operators.metrics import velocity_tiers
-from demandgrid.operators.series import forecast, forecast_on_rows
+from demandgrid.operators.series import forecast
 from demandgrid.operators.splits import timeseries_split
-from demandgrid.plans.panel import long_panel, retail_tables, sales_panel
+from demandgrid.plans.panel import as_long, long_panel, retail_tables, stored_panel
 from demandgrid.session import materialize
 
 DAYS = 16
@@ -21,35 +22,42 @@ def merged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return merge_dimensions(retail_tables(spark, folder))
 
 
-def stacked_predictions(
-    spark: SparkSession, folder: str, models=("Naive", "SeasonalNaive")
-) -> DataFrame:
+def stacked_from(long: DataFrame, models=("Naive", "SeasonalNaive")) -> DataFrame:
     """Holdout rows once per model: model, id, date, keys, actual, predicted, split."""
-    train, val = timeseries_split(long_panel(spark, folder), DAYS, "ds")
+    train, val = timeseries_split(long, DAYS, "ds")
     wide = forecast(train, DAYS, list(models))
-    rows = [
-        forecast_on_rows(val, wide.select("unique_id", "ds", m), m).withColumn("model", F.lit(m))
-        for m in models
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select(
+    melted = wide.unpivot(["unique_id", "ds"], list(models), "model", "forecast")
+    grid = val.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return grid.join(melted, ["unique_id", "ds", "model"], "left").select(
         "model", "id", F.col("ds").alias("date"), "store_nbr", "family",
-        F.col("y").alias("actual"), "predicted", F.lit("val").alias("split"),
+        F.col("y").alias("actual"),
+        F.coalesce(clamp(F.col("forecast")), F.lit(0.0)).alias("predicted"),
+        F.lit("val").alias("split"),
     )
 
 
+def stacked_predictions(
+    spark: SparkSession, folder: str, models=("Naive", "SeasonalNaive")
+) -> DataFrame:
+    return stacked_from(long_panel(spark, folder, stored=True), models)
+
+
 def predictions(spark: SparkSession, folder: str, model: str = "SeasonalNaive") -> DataFrame:
     """Holdout predictions of one statistical model."""
     return stacked_predictions(spark, folder, [model]).drop("model")
 
 
+def holdout_with_metadata(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    """(predictions, merged rows of all days, training rows) over one stored panel."""
+    panel = stored_panel(spark, folder)
+    tables = retail_tables(spark, folder, panel=panel)
+    tables["train"] = panel
+    rows, _ = merge_dimensions(tables)
+    train, _ = timeseries_split(panel, DAYS)
+    return stacked_from(as_long(panel), ["SeasonalNaive"]).drop("model"), rows, train
+
+
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
     """Holdout predictions with metadata, tiers and errors, written once."""
-    tables = retail_tables(spark, folder)
-    tables["train"] = sales_panel(spark, folder)
-    rows, _ = merge_dimensions(tables)
-    train, _ = timeseries_split(tables["train"], DAYS)
-    out = enrich_holdout(predictions(spark, folder), rows, velocity_tiers(train))
-    return materialize(out, "enriched")
+    preds, rows, train = holdout_with_metadata(spark, folder)
+    return materialize(enrich_holdout(preds, rows, velocity_tiers(train)), "enriched")

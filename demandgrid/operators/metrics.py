@@ -16,6 +16,7 @@ from demandgrid.functions.errors import (
     squared_log_error,
 )
 from demandgrid.operators.quantiles import exact_quantiles
+from demandgrid.session import materialize
 
 # fixed values: the axes of the slice report
 SLICE_AXES = (
@@ -149,9 +150,11 @@ def velocity_tiers(history: DataFrame, target: str = "sales") -> DataFrame:
     """Mean target per series and its tertile: slow, mid or fast.
 
     The tertile edges are exact quantiles; if any two of the four edges coincide every
-    series is ``mid``.
+    series is ``mid``. The means are written once, so the history is read a single time.
     """
-    means = history.groupBy("store_nbr", "family").agg(F.avg(target).alias("velocity_mean"))
+    means = materialize(
+        history.groupBy("store_nbr", "family").agg(F.avg(target).alias("velocity_mean")), "means"
+    )
     names = ["e0", "e1", "e2", "e3"]
     edges = exact_quantiles(means, "velocity_mean", [0.0, 1 / 3, 2 / 3, 1.0], names)
     cuts = edges.agg(F.first(F.struct(*names)).alias("e")).scalar()

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    GBTRegressor,
-    GeneralizedLinearRegression,
-    LinearRegression,
-)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,36 +73,83 @@ def fit_tweedie(
     label: str,
     power: float = 1.5,
     alpha: float = 1.0,
-    refits: int = 3,
+    max_steps: int = 20,
+    tol: float = 1e-7,
 ) -> Linear:
     """Log-link Tweedie (1 <= power < 2) regression with an L2 penalty ``alpha``.
 
-    The penalty of Spark's solver is relative to the mean working weight mu^(2-power), so
-    the fit is repeated with the mean found before; for power 1 that mean is the label's.
-    The assembled rows are written once because every IRLS step reads them all.
+    Scoring steps, each a weighted ridge fit of the working response, halved until the
+    penalised deviance falls; Spark's own GLM takes full steps and diverges on series that
+    are mostly zero. The assembled rows are written once because every step reads them.
     """
     rows = materialize(_assembled(df.filter(F.col(label).isNotNull()), names, label), "glm")
+    mean = rows.agg(F.avg("label").alias("m")).head()["m"]
+    beta, start = np.zeros(len(names)), math.log(max(mean, 1e-12))
+    state = _tweedie_state(rows, beta, start, power, alpha)
+    for _ in range(max_steps):
+        # Spark scales its penalty by the label deviation, undone as for plain ridge
+        step = LinearRegression(
+            weightCol="w",
+            regParam=alpha / state["w"] * state["s"],
+            elasticNetParam=0.0,
+            standardization=False,
+            solver="normal",
+        ).fit(_working_rows(rows, beta, start, power))
+        to_beta, to_start, size = step.coefficients.toArray(), float(step.intercept), 1.0
+        while True:
+            new_beta = beta + size * (to_beta - beta)
+            new_start = start + size * (to_start - start)
+            new = _tweedie_state(rows, new_beta, new_start, power, alpha)
+            if new["loss"] is not None and new["loss"] <= state["loss"]:
+                break
+            size /= 2
+            if size < 1e-6:
+                return Linear(list(names), beta.tolist(), start, "log")
+        gain = state["loss"] - new["loss"]
+        beta, start, state = new_beta, new_start, new
+        if gain <= tol * max(abs(state["loss"]), 1.0):
+            break
+    return Linear(list(names), beta.tolist(), float(start), "log")
+
+
+def _with_eta(rows: DataFrame, beta: np.ndarray, start: float) -> DataFrame:
+    """Linear predictor of assembled rows as ``eta``, by a model with these weights."""
+    weights = F.array(*[F.lit(float(b)) for b in beta])
+    products = F.zip_with(vector_to_array("features"), weights, lambda x, b: x * b)
+    eta = F.aggregate(products, F.lit(float(start)), lambda acc, v: acc + v)
+    return rows.withColumn("eta", F.greatest(F.least(eta, F.lit(300.0)), F.lit(-300.0)))
+
+
+def _working_rows(rows: DataFrame, beta: np.ndarray, start: float, power: float) -> DataFrame:
+    mu = F.exp("eta")
+    z = F.col("eta") + (F.col("label") - mu) / mu
+    return _with_eta(rows, beta, start).select(
+        "features", z.alias("label"), F.pow(mu, 2.0 - power).alias("w")
+    )
 
-    def fit(reg: float):
-        if power == 1.0:
-            glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=reg)
-        else:
-            glm = GeneralizedLinearRegression(
-                family="tweedie", variancePower=power, linkPower=0.0, regParam=reg
-            )
-        return glm.setMaxIter(50).fit(rows)
 
+def _tweedie_state(
+    rows: DataFrame, beta: np.ndarray, start: float, power: float, alpha: float
+) -> dict:
+    """Penalised half mean deviance, mean working weight and deviation of the response."""
+    y, mu = F.col("label"), F.exp("eta")
     if power == 1.0:
-        mean = rows.agg(F.avg("label").alias("m")).head()["m"]
-        model = fit(alpha / max(mean, 1e-12))
+        half = mu - y * F.col("eta")
     else:
-        model = fit(alpha)
-        for _ in range(refits):
-            mu = model.transform(rows).agg(F.avg(F.pow("prediction", 2.0 - power)).alias("m"))
-            model = fit(alpha / max(mu.head()["m"], 1e-12))
-    return Linear(
-        list(names), [float(w) for w in model.coefficients], float(model.intercept), "log"
-    )
+        half = F.pow(mu, 2 - power) / (2 - power) - y * F.pow(mu, 1 - power) / (1 - power)
+    w = F.pow(mu, 2.0 - power)
+    z = F.col("eta") + (y - mu) / mu
+    got = _with_eta(rows, beta, start).agg(
+        F.avg(half).alias("loss"),
+        F.avg(w).alias("w"),
+        (F.sum(w * z) / F.sum(w)).alias("z1"),
+        (F.sum(w * z * z) / F.sum(w)).alias("z2"),
+    ).head()
+    loss = got["loss"]
+    if loss is None or not math.isfinite(loss):
+        return {"loss": None}
+    spread = math.sqrt(max(got["z2"] - got["z1"] ** 2, 0.0))
+    return {"loss": loss + alpha / 2 * float(beta @ beta), "w": got["w"], "s": spread}
 
 
 @dataclass

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.errors import clamp, rmsle
 from demandgrid.operators.metrics import score_models
+from demandgrid.operators.smoothing import best_ets, best_ses
 from demandgrid.operators.splits import last_dates, timeseries_split
 
 ID = ("unique_id",)
@@ -135,9 +136,10 @@ def theta(
 
     The series is seasonally adjusted first if its autocorrelation at the season is
     significant: by ratio where all values are positive, else by difference. The
-    smoothing weight is the grid value with the least squared one-step error.
+    smoothing weight is the grid value with the least squared one-step error; finding it
+    is the one step done in NumPy, over arrays that Spark deals out.
     """
-    grid = F.array(*[F.lit(float(a)) for a in (alphas or alpha_grid())])
+    smooth = best_ses(alphas or alpha_grid())
     prof = _seasonal_profile(history, m, by)
     idx = lambda pos: F.get("_index", pos.cast("int"))
     z = F.transform(
@@ -145,20 +147,6 @@ def theta(
         lambda v: F.when(F.col("_mult"), v["y"] / idx(v["pos"])).otherwise(v["y"] - idx(v["pos"])),
     )
 
-    def smooth(a: Column) -> Column:
-        start = F.struct(F.get("_z", F.lit(0)).alias("l"), F.lit(0.0).alias("sse"))
-        end = F.aggregate(
-            F.slice("_z", 2, F.greatest(F.size("_z") - 1, F.lit(1))),
-            start,
-            lambda s, x: F.struct(
-                (s["l"] + a * (x - s["l"])).alias("l"),
-                (s["sse"] + (x - s["l"]) * (x - s["l"])).alias("sse"),
-            ),
-        )
-        return F.transform(
-            F.array(end), lambda e: F.struct(e["sse"].alias("sse"), a.alias("a"), e["l"].alias("l"))
-        )[0]
-
     n = F.col("_n").cast("double")
     mid = (n + 1.0) / 2.0
     moment = F.aggregate(
@@ -167,7 +155,7 @@ def theta(
     slope = F.when(n > 1, moment / F.when(n > 1, n * (n * n - 1.0) / 12.0)).otherwise(F.lit(0.0))
     fitted = (
         prof.withColumn("_z", z)
-        .withColumn("_best", F.array_min(F.transform(grid, smooth)))
+        .withColumn("_best", smooth("_z"))
         .withColumn("_slope", slope)
         .select(*by, "_last", "_n", "_mult", "_index", "_best", "_slope")
     )
@@ -205,97 +193,11 @@ def ets(
     rows = history.groupBy(*by).agg(
         F.max("ds").alias("_last"), F.transform(pairs, lambda p: p["y"]).alias("_y")
     )
-    part = lambda a, b: F.slice("_y", a, b)
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / m
-    rows = rows.withColumn("_n", F.size("_y")).withColumn("_long", F.col("_n") >= 2 * m)
-    rows = rows.withColumn("_m1", F.when(F.col("_long"), mean(part(1, m))))
-    rows = rows.withColumn(
-        "_b0", F.when(F.col("_long"), (mean(part(m + 1, m)) - F.col("_m1")) / m)
-    )
-    rows = rows.withColumn("_l0", F.col("_m1") - F.col("_b0") * ((m + 1) / 2.0))
-    rows = rows.withColumn("_s0", F.transform(part(1, m), lambda x: x - F.col("_m1")))
-
-    def combos(*grids: Sequence[float]) -> Column:
-        sets = [()]
-        for g in grids:
-            sets = [(*s, float(v)) for s in sets for v in g]
-        sets = [(*s, *[0.0] * (3 - len(s))) for s in sets]
-        return F.array(
-            *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
-                for a, b, g in sets
-            ]
-        )
-
-    n = F.col("_n").cast("double")
-
-    def aicc(sse: Column, k: int) -> Column:
-        fit = n * F.log(F.greatest(sse / n, F.lit(1e-12)))
-        extra = F.when(n > k + 1, 2.0 * k * (k + 1) / F.when(n > k + 1, n - k - 1))
-        return fit + 2.0 * k + extra
-
-    empty = F.array().cast("array<double>")
-
-    def candidate(kind: str, k: int, end: Column, g: Column) -> Column:
-        return F.struct(
-            F.coalesce(aicc(end["sse"], k), F.lit(float("inf"))).alias("aicc"),
-            F.lit(kind).alias("kind"),
-            g.alias("g"),
-            end.alias("end"),
-        )
-
-    def state(level, trend, season, sse) -> Column:
-        return F.struct(
-            level.alias("l"), trend.alias("b"), season.alias("s"), sse.alias("sse")
-        )
-
-    def bind(end: Column, body) -> Column:
-        return F.get(F.transform(F.array(end), body), F.lit(0))
-
-    def ann(g: Column) -> Column:
-        first = F.coalesce("_m1", F.get("_y", F.lit(0)))
-        step = lambda s, y: state(
-            s["l"] + g["a"] * (y - s["l"]), s["b"], s["s"],
-            s["sse"] + (y - s["l"]) * (y - s["l"]),
-        )
-        end = F.aggregate("_y", state(first, F.lit(0.0), empty, F.lit(0.0)), step)
-        return bind(end, lambda e: candidate("ANN", 3, e, g))
-
-    def aan(g: Column) -> Column:
-        def step(s: Column, y: Column) -> Column:
-            e = y - s["l"] - s["b"]
-            return state(
-                s["l"] + s["b"] + g["a"] * e, s["b"] + g["b"] * e, s["s"], s["sse"] + e * e
-            )
-
-        end = F.aggregate("_y", state(F.col("_l0"), F.col("_b0"), empty, F.lit(0.0)), step)
-        return bind(end, lambda e: candidate("AAN", 5, e, g))
-
-    def aaa(g: Column) -> Column:
-        def step(s: Column, y: Column) -> Column:
-            now = F.get(s["s"], F.lit(0))
-            e = y - s["l"] - s["b"] - now
-            turned = F.concat(F.slice(s["s"], 2, m - 1), F.array(now + g["g"] * e))
-            return state(s["l"] + s["b"] + g["a"] * e, s["b"] + g["b"] * e, turned,
-                         s["sse"] + e * e)
-
-        end = F.aggregate("_y", state(F.col("_l0"), F.col("_b0"), F.col("_s0"), F.lit(0.0)), step)
-        return bind(end, lambda e: candidate("AAA", 5 + m, e, g))
-
-    tried = F.transform(combos(alphas), ann)
-    more = F.concat(
-        F.transform(combos(alphas, betas), aan), F.transform(combos(alphas, betas, gammas), aaa)
-    )
-    best = F.array_min(F.when(F.col("_long"), F.concat(tried, more)).otherwise(tried))
-    fitted = rows.select(*by, "_last", best.alias("_best"))
-    st = F.col("_best.end")
-    trend = F.when(F.col("_best.kind") == "ANN", 0.0).otherwise(st["b"] * F.col("step"))
-    season = F.when(
-        F.col("_best.kind") == "AAA",
-        F.get(st["s"], F.pmod(F.col("step") - 1, F.lit(m)).cast("int")),
-    ).otherwise(0.0)
+    fitted = rows.select(*by, "_last", best_ets(m, alphas, betas, gammas)("_y").alias("_fit"))
+    season = F.get("_fit.s", F.pmod(F.col("step") - 1, F.lit(m)).cast("int"))
+    value = F.col("_fit.l") + F.col("_fit.b") * F.col("step") + season
     return _steps(fitted, h).select(
-        *by, "ds", (st["l"] + trend + season).alias("forecast"), F.col("_best.kind").alias("kind")
+        *by, "ds", value.alias("forecast"), F.col("_fit.kind").alias("kind")
     )
 
 

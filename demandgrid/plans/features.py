@@ -22,15 +22,20 @@ KNOWN_AHEAD = ("onpromotion", "dcoilwtico", "is_holiday", "cluster")
 
 
 def date_features(
-    df: DataFrame, settings: FeatureSettings, ref_date, holidays: DataFrame | None
+    df: DataFrame,
+    settings: FeatureSettings,
+    ref_date,
+    holidays: DataFrame | None,
+    spine: DataFrame | None = None,
 ) -> DataFrame:
     """Calendar, Fourier and holiday-distance columns.
 
     They depend on the date alone, so they are computed once per calendar day and joined
-    as one broadcast table.
+    as one broadcast table. ``spine`` names the days where they are known more cheaply
+    than from ``df``.
     """
     date = settings.date_col
-    spine = calendar_spine(df, date=date)
+    spine = calendar_spine(df, date=date) if spine is None else spine
     day = F.col(date)
     cols = calendar_columns(day, settings.date_features, ref_date)
     cols |= fourier_columns(day, settings.fourier)
@@ -55,13 +60,14 @@ def combined_features(
     History features are windows over both frames in one exchange; the target of the test
     rows is NULL, so nothing of the horizon leaks back.
     """
+    spine = calendar_spine(train, test, date=settings.date_col)
     if settings.trim_pre_activation:
         train = trim_pre_activation_zeros(
             train, settings.target, settings.keys, settings.date_col
         )
     rows = history_features(union_with_origin(train, test), settings, strategy)
     first = train.agg(F.min(settings.date_col).alias("d")).scalar()
-    return fill_missing(date_features(rows, settings, first, holidays))
+    return fill_missing(date_features(rows, settings, first, holidays, spine))
 
 
 def make_features(

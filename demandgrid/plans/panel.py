@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from demandgrid.session import materialize
+
 HORIZON = 16
 
 
+# fixed values: columns of the order tables that are used
+COLUMNS = {
+    "orders": "o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """Scan with a given schema, so no job is needed to look at file footers."""
+    return spark.read.schema(COLUMNS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def sales_facts(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
@@ -69,9 +82,10 @@ def densify(facts: DataFrame, first, last) -> DataFrame:
 
 
 def order_days(spark: SparkSession, folder: str) -> tuple:
-    """First and last order date as scalar subqueries; read from one narrow column."""
+    """First and last order date: one scalar subquery over one narrow column."""
     days = read(spark, folder, "orders").select(F.to_date("o_orderdate").alias("d"))
-    return days.agg(F.min("d").alias("d")).scalar(), days.agg(F.max("d").alias("d")).scalar()
+    ends = days.agg(F.struct(F.min("d").alias("a"), F.max("d").alias("z")).alias("e")).scalar()
+    return ends["a"], ends["z"]
 
 
 def sales_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
@@ -129,12 +143,18 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retail_tables(
-    spark: SparkSession, folder: str, grain: str = "region", horizon: int = HORIZON
+    spark: SparkSession,
+    folder: str,
+    grain: str = "region",
+    horizon: int = HORIZON,
+    panel: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The table bundle: the last ``horizon`` days are the test rows without target."""
-    panel = sales_panel(spark, folder, grain).withColumn("id", row_id())
-    _, last = order_days(spark, folder)
-    cut = F.date_sub(last, horizon - 1)
+    """The table bundle: the last ``horizon`` days are the test rows without target.
+
+    The panel is written once; its many readers then scan only the columns they need.
+    """
+    panel = stored_panel(spark, folder, grain) if panel is None else panel
+    cut = F.date_sub(panel.agg(F.max("date").alias("d")).scalar(), horizon - 1)
     return {
         "train": panel.filter(F.col("date") < cut),
         "test": panel.filter(F.col("date") >= cut).drop("sales"),
@@ -145,9 +165,14 @@ def retail_tables(
     }
 
 
-def long_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
-    """``unique_id, ds, y`` of the whole panel with its keys and row id."""
-    return sales_panel(spark, folder, grain).select(
+def stored_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
+    """The panel with row ids as a written table, for plans that read it several times."""
+    return materialize(sales_panel(spark, folder, grain).withColumn("id", row_id()), "panel")
+
+
+def as_long(panel: DataFrame) -> DataFrame:
+    """``unique_id, ds, y`` with the keys and the row id."""
+    return panel.select(
         F.concat_ws("_", "store_nbr", "family").alias("unique_id"),
         F.col("date").alias("ds"),
         F.col("sales").alias("y"),
@@ -155,3 +180,10 @@ def long_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataF
         "family",
         row_id().alias("id"),
     )
+
+
+def long_panel(
+    spark: SparkSession, folder: str, grain: str = "region", stored: bool = False
+) -> DataFrame:
+    make = stored_panel if stored else sales_panel
+    return as_long(make(spark, folder, grain))

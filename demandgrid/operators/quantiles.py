@@ -47,8 +47,9 @@ def exact_quantiles(
             cond = cond & c
         tagged = rows.alias("_r").join(brackets.alias("_b"), cond).select("_r.*", "_lo", "_hi")
     else:
-        band = rows.agg(F.struct(*sketch).alias("_band")).scalar()
-        tagged = rows.withColumn("_band", band).select("_v", "_band._lo", "_band._hi")
+        band = rows.agg(*sketch).head()  # a few numbers
+        edges = {c: F.array(*[F.lit(v) for v in band[c] or ()]) for c in ("_lo", "_hi")}
+        tagged = rows.withColumns({c: e.cast("array<double>") for c, e in edges.items()})
 
     inside = F.exists(
         F.arrays_zip("_lo", "_hi"),

@@ -146,7 +146,45 @@ def _(spark, folder):
     return tidy(theta(long_panel(spark, folder), DAYS), 3)
 
 
-@query("ets_grid_forecast")
+ETS_SQL = """
+ey AS (SELECT uid, sales AS y, row_number() OVER (PARTITION BY uid ORDER BY date) AS t,
+         count(*) OVER (PARTITION BY uid) AS n FROM panel),
+ei AS (SELECT uid, max(n) AS n, avg(y) FILTER (t <= 7) AS m1,
+         (avg(y) FILTER (t BETWEEN 8 AND 14) - avg(y) FILTER (t <= 7)) / 7 AS b0,
+         list(y ORDER BY t) FILTER (t <= 7) AS season FROM ey GROUP BY 1),
+ec AS (SELECT 'ANN' AS kind, 3 AS k, a, 0.0 AS b, 0.0 AS g
+         FROM unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t(a)
+  UNION ALL SELECT 'AAN', 5, a, b, 0.0
+         FROM unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t(a), unnest([0.01, 0.05, 0.1]) AS u(b)
+  UNION ALL SELECT 'AAA', 12, a, b, g FROM unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t(a),
+         unnest([0.01, 0.05, 0.1]) AS u(b), unnest([0.05, 0.1]) AS v(g)),
+er AS (SELECT uid, kind, k, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b,
+         CAST(g AS DOUBLE) AS g, CAST(0 AS BIGINT) AS t,
+         CASE kind WHEN 'ANN' THEN m1 ELSE m1 - b0 * 4.0 END AS l,
+         CASE kind WHEN 'ANN' THEN 0.0 ELSE b0 END AS s,
+         CASE kind WHEN 'AAA' THEN list_transform(season, lambda x: x - m1)
+           ELSE [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] END AS c,
+         CAST(0 AS DOUBLE) AS sse FROM ei, ec
+  UNION ALL SELECT r.uid, kind, k, a, b, g, r.t + 1, l + s + a * (y.y - l - s - c[1]),
+         s + b * (y.y - l - s - c[1]), list_append(c[2:7], c[1] + g * (y.y - l - s - c[1])),
+         sse + (y.y - l - s - c[1]) * (y.y - l - s - c[1])
+       FROM er r JOIN ey y ON y.uid = r.uid AND y.t = r.t + 1),
+eb AS (SELECT uid, arg_min({'kind': kind, 'l': l, 's': s, 'c': c}, n * ln(greatest(sse / n, 1e-12))
+         + 2 * k + 2.0 * k * (k + 1) / (n - k - 1)) AS f
+       FROM er JOIN ei USING (uid) WHERE er.t = ei.n GROUP BY 1)"""
+
+
+@query(
+    "ets_grid_forecast",
+    sql(
+        f"""SELECT a.uid AS unique_id, {day('a.ds', 'ds')}, f.kind AS kind,
+        {rnd('f.l + f.s * a.step + f.c[(a.step - 1) % 7 + 1]', 'forecast', 3)}
+        FROM ah a JOIN eb USING (uid)""",
+        AHEAD,
+        ETS_SQL,
+        recursive=True,
+    ),
+)
 def _(spark, folder):
     return tidy(ets(long_panel(spark, folder), DAYS), 3)
 

@@ -51,7 +51,7 @@ def holdout_with_metadata(spark: SparkSession, folder: str) -> tuple[DataFrame,
     """(predictions, merged rows of all days, training rows) over one stored panel."""
     panel = stored_panel(spark, folder)
     tables = retail_tables(spark, folder, panel=panel)
-    tables["train"] = panel
+    tables["train"] = panel.drop("n_orders")
     rows, _ = merge_dimensions(tables)
     train, _ = timeseries_split(panel, DAYS)
     return stacked_from(as_long(panel), ["SeasonalNaive"]).drop("model"), rows, train

@@ -31,15 +31,18 @@ from demandgrid.operators.audit import (
     paired_bootstrap,
     residual_clusters,
 )
-from demandgrid.operators.metrics import slice_scores
-from demandgrid.operators.models import TreeSettings
+from demandgrid.operators.metrics import daily_aggregate, slice_scores
+from demandgrid.operators.models import TreeSettings, fit_panel_model
 from demandgrid.operators.prep import to_long
 from demandgrid.plans.boosted import BoostedSettings, boosted_forecast
-from demandgrid.plans.panel import holidays
+from demandgrid.operators.recursive import recursive_forecast
+from demandgrid.plans.panel import holidays, retail_tables
 from demandgrid.plans.training import (
     audit_run,
     audit_summary,
+    daily_frame,
     direct_predictions,
+    prepare_features,
     recursive_predictions,
     train_panel,
     walk_forward_evaluation,
@@ -63,6 +66,70 @@ def trained(spark, folder, kind, transform, options=None):
     )
 
 
+# ridge with two features in closed form: yesterday's log sales and the promotion count
+TWO = """
+rx AS (SELECT store_nbr, family, date, ln(1 + sales) AS y, onpromotion AS x2,
+         lag(ln(1 + sales)) OVER (PARTITION BY store_nbr, family ORDER BY date) AS x1 FROM train),
+rm AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) * count(*) + 10 AS s11,
+         var_pop(x2) * count(*) + 10 AS s22, covar_pop(x1, x2) * count(*) AS s12,
+         covar_pop(x1, y) * count(*) AS s1y, covar_pop(x2, y) * count(*) AS s2y
+       FROM rx WHERE x1 IS NOT NULL),
+rc AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1,
+         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2 FROM rm),
+rf AS (SELECT w1, w2, my - w1 * m1 - w2 * m2 AS b FROM rc)"""
+AR1 = FeatureSettings(lags={"sales": (1,)}, drop_cols=("dcoilwtico", "is_holiday", "cluster"))
+
+
+def _two_features(spark, folder):
+    t = retail_tables(spark, folder)
+    rows, used, label = prepare_features(t["train"], t["test"], AR1, "log1p", None, "series")
+    names = ["log_sales_lag_1", "onpromotion"]
+    model = fit_panel_model(
+        rows.filter("is_train"), "ridge", label, [], names, used.history_names(), "log1p",
+        {"alpha": 10.0},
+    )
+    return model, rows, used, label
+
+
+@query(
+    "ridge_coefficients",
+    sql(
+        f"""SELECT 'log_sales_lag_1' AS feature, {rnd('w1', 'weight', 8)} FROM rf UNION ALL
+        SELECT 'onpromotion', {rnd('w2', 'weight', 8)} FROM rf UNION ALL
+        SELECT 'intercept', {rnd('b', 'weight', 8)} FROM rf""",
+        TWO,
+    ),
+)
+def _(spark, folder):
+    model, *_ = _two_features(spark, folder)
+    weights = {**model.linear.weights, "intercept": model.linear.intercept}
+    return tidy(spark.createDataFrame(list(weights.items()), "feature string, weight double"), 8)
+
+
+@query(
+    "ridge_recursive_two_features",
+    sql(
+        f"""SELECT store_nbr, family, {day('date')},
+        {rnd('greatest(p, 0)', 'log_predicted')} FROM rr WHERE date > (SELECT c - 1 FROM cut)""",
+        TWO,
+        """
+rr AS (SELECT store_nbr, family, date, ln(1 + sales) AS p FROM train
+         WHERE date = (SELECT c - 1 FROM cut)
+  UNION ALL SELECT v.store_nbr, v.family, v.date, rf.b + rf.w1 * r.p + rf.w2 * v.onpromotion
+       FROM rr r JOIN val v ON v.store_nbr = r.store_nbr AND v.family = r.family
+         AND v.date = r.date + 1, rf)""",
+        recursive=True,
+    ),
+)
+def _(spark, folder):
+    model, rows, used, label = _two_features(spark, folder)
+    out = recursive_forecast(
+        model, rows.filter("is_train"), rows.filter("not is_train"), used, label
+    )
+    return tidy(out.withColumn("predicted", F.log1p("predicted")).withColumnRenamed(
+        "predicted", "log_predicted"))
+
+
 @query("ridge_fit_predict")
 def _(spark, folder):
     return tidy(direct_predictions(trained(spark, folder, "ridge", "log1p")), 4)
@@ -74,6 +141,13 @@ def _(spark, folder):
     return tidy(out.filter("split <> 'train'"), 4)
 
 
+@query("daily_rescore")
+def _(spark, folder):
+    """Daily totals of the in-sample and holdout predictions of a run."""
+    rows = daily_frame(direct_predictions(trained(spark, folder, "ridge", "log1p")))
+    return tidy(daily_aggregate(rows), 2)
+
+
 @query("tweedie_fit_predict")
 def _(spark, folder):
     out = direct_predictions(trained(spark, folder, "tweedie", "raw"))

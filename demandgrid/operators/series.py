@@ -8,7 +8,7 @@ the arrays built here have at most one value per calendar day.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,6 +206,7 @@ FORECASTERS: dict[str, Callable] = {
     "Naive": naive,
     "SeasonalNaive": seasonal_naive,
     "Theta": theta,
+    "AutoTheta": partial(theta, alphas=alpha_grid(0.02)),
     "AutoETS": ets,
 }
 

@@ -77,6 +77,11 @@ def densify(facts: DataFrame, first, last) -> DataFrame:
             F.when(F.col("_day") == F.col("date"), F.col("onpromotion"))
             .otherwise(0)
             .alias("onpromotion"),
+            *[
+                F.when(F.col("_day") == F.col("date"), F.col(c)).otherwise(0).alias(c)
+                for c in ("n_orders",)
+                if c in facts.columns
+            ],
         )
     )
 
@@ -90,7 +95,7 @@ def order_days(spark: SparkSession, folder: str) -> tuple:
 
 def sales_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
     first, last = order_days(spark, folder)
-    return densify(sales_facts(spark, folder, grain), first, last)
+    return densify(sales_facts(spark, folder, grain), first, last).drop("n_orders")
 
 
 def row_id():
@@ -134,12 +139,10 @@ def holidays(spark: SparkSession, folder: str) -> DataFrame:
     return national.unionByName(days.filter(xmas).withColumn("locale", F.lit("L")))
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        sales_facts(spark, folder)
-        .groupBy("date", "store_nbr")
-        .agg(F.sum("n_orders").alias("transactions"))
-    )
+def transactions(panel: DataFrame) -> DataFrame:
+    """Orders per day and store; days without any have no row."""
+    counts = panel.filter(F.col("n_orders") > 0).groupBy("date", "store_nbr")
+    return counts.agg(F.sum("n_orders").alias("transactions"))
 
 
 def retail_tables(
@@ -155,19 +158,22 @@ def retail_tables(
     """
     panel = stored_panel(spark, folder, grain) if panel is None else panel
     cut = F.date_sub(panel.agg(F.max("date").alias("d")).scalar(), horizon - 1)
+    facts = panel.drop("n_orders")
     return {
-        "train": panel.filter(F.col("date") < cut),
-        "test": panel.filter(F.col("date") >= cut).drop("sales"),
+        "train": facts.filter(F.col("date") < cut),
+        "test": facts.filter(F.col("date") >= cut).drop("sales"),
         "stores": stores(spark, folder),
         "oil": oil(spark, folder),
         "holidays": holidays(spark, folder),
-        "transactions": transactions(spark, folder),
+        "transactions": transactions(panel),
     }
 
 
 def stored_panel(spark: SparkSession, folder: str, grain: str = "region") -> DataFrame:
     """The panel with row ids as a written table, for plans that read it several times."""
-    return materialize(sales_panel(spark, folder, grain).withColumn("id", row_id()), "panel")
+    first, last = order_days(spark, folder)
+    panel = densify(sales_facts(spark, folder, grain), first, last)
+    return materialize(panel.withColumn("id", row_id()), "panel")
 
 
 def as_long(panel: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from demandgrid.catalog.base import PREDS, day, query, rnd, sql, tidy
 from demandgrid.catalog.inputs import DAYS
+from demandgrid.functions.errors import rmsle
 from demandgrid.operators.batch import panel_batch_forecast
-from demandgrid.operators.metrics import cv_summary, family_scores, row_metrics, score_models
+from demandgrid.operators.metrics import cv_summary, row_metrics, score_models
 from demandgrid.operators.series import (
     cross_validate,
     ets,
@@ -24,7 +25,7 @@ from demandgrid.operators.series import (
 )
 from demandgrid.operators.splits import timeseries_split
 from demandgrid.operators.windows import lag_roll_features
-from demandgrid.plans.panel import long_panel, retail_tables, sales_panel
+from demandgrid.plans.panel import long_panel, retail_tables, stored_panel
 from demandgrid.settings import FeatureSettings, Roll
 
 RMSLE = "sqrt(avg(pow(ln(1 + actual) - ln(1 + greatest(predicted, 0)), 2)))"
@@ -50,19 +51,22 @@ SLICE = FeatureSettings(lags={"sales": (1, 7)}, rolls=(Roll("sales", (7,), ("mea
 )
 def _(spark, folder):
     """History features, 16-day holdout, seasonal naive forecast, score per family."""
-    feats = lag_roll_features(sales_panel(spark, folder), SLICE, "series")
+    feats = lag_roll_features(stored_panel(spark, folder), SLICE, "series")
     train, val = timeseries_split(feats, DAYS)
     uid = F.concat_ws("_", "store_nbr", "family").alias("unique_id")
     hist = train.select(uid, F.col("date").alias("ds"), F.col("sales").alias("y"))
     rows = val.select("*", uid, F.col("date").alias("ds"))
-    scored = forecast_on_rows(rows, seasonal_naive(hist, DAYS)).withColumn(
-        "actual", F.col("sales")
+    scored = forecast_on_rows(rows, seasonal_naive(hist, DAYS))
+    return tidy(
+        scored.groupBy("family").agg(
+            F.count(F.lit(1)).alias("n"),
+            rmsle(F.col("sales"), F.col("predicted")).alias("rmsle"),
+            F.sum("sales_lag_7").alias("lag_7_total"),
+            F.avg("sales_roll_7_mean").alias("mean_roll_7"),
+        ),
+        6,
+        mean_roll_7=4,
     )
-    score = family_scores(scored)
-    extra = scored.groupBy("family").agg(
-        F.sum("sales_lag_7").alias("lag_7_total"), F.avg("sales_roll_7_mean").alias("mean_roll_7")
-    )
-    return tidy(score.join(extra, "family"), 6, mean_roll_7=4)
 
 
 @query("future_keys", sql(f"SELECT uid AS unique_id, {day('ds')}, step FROM ah", AHEAD))

@@ -330,9 +330,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     fit, val, _ = _periods(spark, folder)
-    rows = fit.select(F.lit("train").alias("period"), "family", F.col("sales").alias("mix"))
+    rows = fit.select(F.lit("train").alias("period"), "family", "sales")
     rows = rows.unionByName(
-        val.select(F.lit("val").alias("period"), "family", F.col("sales").alias("mix"))
+        val.select(F.lit("val").alias("period"), "family", "sales")
     )
     return tidy(family_mix_js(rows, "train", "val"), 8)
 

@@ -21,6 +21,7 @@ from demandgrid.operators.models import fit_ridge
 from demandgrid.operators.prep import fill_missing, first_per_key
 from demandgrid.operators.quantiles import exact_quantiles
 from demandgrid.operators.ranks import hashed_rank, series_hash
+from demandgrid.session import materialize
 
 # fixed values: columns offered to residual discovery
 DISCOVERY = (
@@ -93,7 +94,9 @@ def bootstrap_rmsle(val: DataFrame, n_boot: int = 500, seed: int = 42) -> DataFr
     are never replicated. Without series every value is missing and the counts are zero.
     """
     sle = squared_log_error(F.col("actual"), F.col("predicted"))
-    per_series = val.groupBy(*SERIES).agg(F.count(sle).alias("n"), F.sum(sle).alias("sle"))
+    per_series = materialize(
+        val.groupBy(*SERIES).agg(F.count(sle).alias("n"), F.sum(sle).alias("sle")), "series"
+    )
     scores = _resampled(per_series, ["n", "sle"], n_boot, seed).select(
         F.sqrt(F.col("sle") / F.col("n")).alias("s")
     )
@@ -119,10 +122,11 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, n_boot: int = 500, seed: int =
     right = b.select(*SERIES, "date", F.col("predicted").alias("predicted_b"))
     sa = squared_log_error(F.col("actual"), F.col("predicted"))
     sb = squared_log_error(F.col("actual"), F.col("predicted_b"))
-    per_series = (
+    per_series = materialize(
         left.join(right, [*SERIES, "date"])
         .groupBy(*SERIES)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(sa).alias("sa"), F.sum(sb).alias("sb"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(sa).alias("sa"), F.sum(sb).alias("sb")),
+        "series",
     )
     delta = F.sqrt(F.col("sa") / F.col("n")) - F.sqrt(F.col("sb") / F.col("n"))
     deltas = _resampled(per_series, ["n", "sa", "sb"], n_boot, seed).select(delta.alias("d"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,39 @@ class OneHot:
         cols = self.columns(df.columns)
         return df.select(*keep, *[e.alias(n) for n, e in cols.items()])
 
+    def vectors(self, df: DataFrame, out: str, keep: Sequence[str] = ()) -> DataFrame:
+        """The same columns as one sparse vector, for fitting with many levels.
+
+        The base level is listed last for the encoder, which drops the last one; unseen
+        and missing values are read as the base level.
+        """
+        used = {c: vs for c, vs in self.categories.items() if len(vs) > 1}
+        rows = df.withColumns(
+            {
+                **{f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+                   for c in self.numeric},
+                **{
+                    f"_t_{c}": F.coalesce(
+                        F.when(F.col(c).isin(list(vs)), F.col(c).cast("string")),
+                        F.lit(str(vs[0])),
+                    )
+                    for c, vs in used.items()
+                },
+            }
+        )
+        inputs = [f"_n_{c}" for c in self.numeric]
+        if used:
+            for c, vs in used.items():
+                rows = StringIndexerModel.from_labels(
+                    [str(v) for v in [*vs[1:], vs[0]]], f"_t_{c}", f"_i_{c}"
+                ).transform(rows)
+            codes = OneHotEncoder(
+                inputCols=[f"_i_{c}" for c in used], outputCols=[f"_v_{c}" for c in used]
+            )
+            rows = codes.fit(rows).transform(rows)
+            inputs += [f"_v_{c}" for c in used]
+        return VectorAssembler(inputCols=inputs, outputCol=out).transform(rows).select(out, *keep)
+
 
 @dataclass
 class Ordinal:

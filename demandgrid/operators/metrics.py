@@ -333,52 +333,61 @@ def improvement_summary(gains: DataFrame) -> DataFrame:
     ).withColumn("median_improvement", median)
 
 
-def _entropy_parts(df: DataFrame, period: str) -> DataFrame:
-    mix = df.groupBy(period, "family").agg(F.coalesce(F.sum("_mix"), F.lit(0.0)).alias("s"))
-    totals = mix.groupBy(period).agg(F.sum("s").alias("t"))
-    share = F.col("s") / F.when(F.col("t") == 0, 1.0).otherwise(F.col("t"))
+def _family_sums(df: DataFrame, period: str) -> DataFrame:
+    """Sums of ``sales`` and ``mix`` per period and family: a small table, written once."""
+    have = "mix" if "mix" in df.columns else "sales"
+    return materialize(
+        df.groupBy(F.col(period).alias("period"), "family").agg(
+            F.coalesce(F.sum("sales"), F.lit(0.0)).alias("sales"),
+            F.coalesce(F.sum(have), F.lit(0.0)).alias("mix"),
+        ),
+        "mix",
+    )
+
+
+def _entropy(sums: DataFrame) -> DataFrame:
+    """Shannon entropy of the family shares per period, natural log."""
+    total = F.sum("sales").over(Window.partitionBy("period"))  # a row per family
+    p = F.col("_p")
     return (
-        mix.join(totals, period)
-        .withColumn("p", share)
-        .groupBy(period)
+        sums.withColumn("_t", total)
+        .withColumn("_p", F.col("sales") / F.when(F.col("_t") == 0, 1.0).otherwise(F.col("_t")))
+        .groupBy("period")
         .agg(
-            F.coalesce(
-                -F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p"))), F.lit(0.0)
-            ).alias("family_mix_entropy")
+            F.coalesce(-F.sum(F.when(p > 0, p * F.log(p))), F.lit(0.0)).alias("family_mix_entropy")
         )
     )
 
 
-def period_summaries(df: DataFrame, period: str = "period") -> DataFrame:
-    """Rows, promotion and holiday rate, oil moments and family-mix entropy per period."""
-    base = df.groupBy(period).agg(
+def _period_base(df: DataFrame, period: str) -> DataFrame:
+    return df.groupBy(F.col(period).alias("period")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.coalesce(F.col("onpromotion"), F.lit(0)).cast("double")).alias("promotion_rate"),
         F.avg(F.coalesce(F.col("is_holiday"), F.lit(0)).cast("double")).alias("holiday_rate"),
         F.avg("dcoilwtico").alias("oil_mean"),
         F.stddev_samp("dcoilwtico").alias("oil_std"),
     )
-    mix = df.withColumn("_mix", F.coalesce(F.col("sales"), F.lit(0.0)))
-    return base.join(_entropy_parts(mix, period), period, "left")
 
 
-def family_mix_js(df: DataFrame, a: str, b: str, period: str = "period") -> DataFrame:
-    """Jensen-Shannon divergence of the family mix of two periods, natural log.
+def period_summaries(df: DataFrame, period: str = "period") -> DataFrame:
+    """Rows, promotion and holiday rate, oil moments and family-mix entropy per period."""
+    return _period_base(df, period).join(_entropy(_family_sums(df, period)), "period", "left")
 
-    ``mix`` is the column to sum per family; shares have 1e-12 added to the total.
-    """
+
+def _js(sums: DataFrame, a: str, b: str) -> DataFrame:
+    """Jensen-Shannon divergence of two periods from their family sums."""
     def part(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col(period) == name, F.col("mix"))), F.lit(0.0))
+        return F.coalesce(F.sum(F.when(F.col("period") == name, F.col("mix"))), F.lit(0.0))
 
-    sums = (
-        df.filter(F.col(period).isin(a, b))
+    whole = Window.partitionBy()  # a row per family
+    shares = (
+        sums.filter(F.col("period").isin(a, b))
         .groupBy("family")
         .agg(part(a).alias("sa"), part(b).alias("sb"))
-    )
-    both = sums.agg(F.struct(F.sum("sa").alias("ta"), F.sum("sb").alias("tb")).alias("t")).scalar()
-    shares = sums.withColumn("t", both).select(
-        (F.col("sa") / (F.col("t.ta") + 1e-12)).alias("pa"),
-        (F.col("sb") / (F.col("t.tb") + 1e-12)).alias("pb"),
+        .select(
+            (F.col("sa") / (F.sum("sa").over(whole) + 1e-12)).alias("pa"),
+            (F.col("sb") / (F.sum("sb").over(whole) + 1e-12)).alias("pb"),
+        )
     )
     m = F.greatest(0.5 * (F.col("pa") + F.col("pb")), F.lit(1e-12))
 
@@ -389,11 +398,19 @@ def family_mix_js(df: DataFrame, a: str, b: str, period: str = "period") -> Data
     return shares.agg((0.5 * kl("pa") + 0.5 * kl("pb")).alias("js"))
 
 
+def family_mix_js(df: DataFrame, a: str, b: str, period: str = "period") -> DataFrame:
+    """Jensen-Shannon divergence of the family sales mix of two periods, natural log.
+
+    Shares have 1e-12 added to the total; a family missing in one period counts as zero.
+    """
+    return _js(_family_sums(df, period), a, b)
+
+
 def shift_summary(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFrame:
     """Period summaries plus the mix divergence of each period from train.
 
     A test frame without target counts as zero sales in its summary and as one unit per
-    row in the divergence.
+    row in the divergence. The rows are read twice: for the rates and for the family sums.
     """
     cols = ["family", "onpromotion", "is_holiday", "dcoilwtico"]
 
@@ -406,13 +423,16 @@ def shift_summary(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFram
         )
 
     rows = tagged(train, "train").unionByName(tagged(val, "val")).unionByName(tagged(test, "test"))
-    js_val = family_mix_js(rows, "train", "val").scalar()
-    js_test = family_mix_js(rows, "train", "test").scalar()
-    return period_summaries(rows).withColumn(
-        "js_from_train",
-        F.when(F.col("period") == "val", js_val)
-        .when(F.col("period") == "test", js_test)
-        .otherwise(F.lit(0.0)),
+    sums = _family_sums(rows, "period")
+    js = [
+        _js(sums, "train", p).select(F.lit(p).alias("period"), F.col("js").alias("js_from_train"))
+        for p in ("val", "test")
+    ]
+    return (
+        _period_base(rows, "period")
+        .join(_entropy(sums), "period", "left")
+        .join(js[0].unionByName(js[1]), "period", "left")
+        .withColumn("js_from_train", F.coalesce("js_from_train", F.lit(0.0)))
     )
 
 

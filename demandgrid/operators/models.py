@@ -44,8 +44,10 @@ class Linear:
 
 
 def _assembled(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
-    vec = VectorAssembler(inputCols=list(names), outputCol="features")
-    return vec.transform(df).select("features", F.col(label).cast("double").alias("label"))
+    """``features`` and ``label``; a vector column ``features`` is used as it is."""
+    if "features" not in df.columns:
+        df = VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
+    return df.select("features", F.col(label).cast("double").alias("label"))
 
 
 def fit_ridge(df: DataFrame, names: Sequence[str], label: str, alpha: float = 1.0) -> Linear:
@@ -280,7 +282,7 @@ def fit_panel_model(
     if kind not in LINEAR_KINDS:
         raise ValueError(f"unknown model kind {kind!r}; have {[*LINEAR_KINDS, 'trees']}")
     enc = OneHot.fit(train, categorical, numeric)
-    coded = enc.transform(train, keep=[label])
+    coded = enc.vectors(train, "features", keep=[label])
     merged = {**LINEAR_KINDS[kind], **options}
     fit = fit_ridge if kind == "ridge" else fit_tweedie
     linear = fit(coded, enc.names, label, **merged)

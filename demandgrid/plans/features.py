@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions.calendar import calendar_columns, fourier_columns
@@ -14,7 +14,7 @@ from demandgrid.operators.prep import (
     trim_pre_activation_zeros,
     union_with_origin,
 )
-from demandgrid.operators.windows import history_features
+from demandgrid.operators.windows import history_features, pick_strategy
 from demandgrid.settings import FeatureSettings
 
 # fixed values: signals known ahead for the horizon, usable as features
@@ -61,15 +61,42 @@ def combined_features(
     rows is NULL, so nothing of the horizon leaks back.
     """
     spine = calendar_spine(train, test, date=settings.date_col)
-    if settings.trim_pre_activation:
-        train = trim_pre_activation_zeros(
-            train, settings.target, settings.keys, settings.date_col
-        )
-    rows = history_features(union_with_origin(train, test), settings, strategy)
     first = train.agg(F.min(settings.date_col).alias("d")).scalar()
+    rows = union_with_origin(train, test)
+    if strategy == "auto":
+        strategy = pick_strategy(rows, settings.keys)
+    if settings.trim_pre_activation:
+        rows = _trimmed(rows, settings, strategy)
+        first = _first_kept_day(train, settings)
+    rows = history_features(rows, settings, strategy)
     return fill_missing(date_features(rows, settings, first, holidays, spine))
 
 
+def _first_kept_day(train: DataFrame, settings: FeatureSettings):
+    """Earliest day that trimming leaves: from one row per series, no join."""
+    date, y = settings.date_col, settings.target
+    per_series = train.groupBy(*settings.keys).agg(
+        F.min(date).alias("all"), F.min(F.when(F.col(y) > 0, F.col(date))).alias("sold")
+    )
+    return per_series.agg(F.min(F.coalesce("sold", "all")).alias("d")).scalar()
+
+
+def _trimmed(rows: DataFrame, settings: FeatureSettings, strategy: str) -> DataFrame:
+    """Train rows before a series' first sale dropped.
+
+    As a window it shares the exchange of the history features that follow; with very
+    long series the aggregate and join of the stand-alone operator is used.
+    """
+    keys, date, y = settings.keys, settings.date_col, settings.target
+    if strategy != "series":
+        train, test = rows.filter("is_train"), rows.filter("not is_train")
+        return trim_pre_activation_zeros(train, y, keys, date).unionByName(test)
+    sold = F.when(F.col("is_train") & (F.col(y) > 0), F.col(date))
+    start = F.min(sold).over(Window.partitionBy(*keys))
+    kept = ~F.col("is_train") | F.col("_first").isNull() | (F.col(date) >= F.col("_first"))
+    return rows.withColumn("_first", start).filter(kept).drop("_first")
+
+
 def make_features(
     train: DataFrame,
     test: DataFrame,

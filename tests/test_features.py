@@ -118,3 +118,15 @@ def test_ranks_are_dense(spark, panel_of):
     assert got == list(range(500))
     pos = series_position(panel_of({(1, "A"): range(50)}), ["store_nbr", "family"], "date", "p", 7)
     assert all(r["p"] == r["sales"] for r in pos.collect())
+
+
+def test_sparse_vectors_hold_the_same_columns(spark):
+    fit = spark.createDataFrame([(1, "A", 1.0), (10, "B", 2.0), (2, "A", None)],
+                                "store_nbr int, family string, x double")
+    enc = OneHot.fit(fit, ["store_nbr", "family"], ["x"])
+    new = fit.unionByName(
+        spark.createDataFrame([(3, "C", 7.0), (None, None, 1.0)], fit.schema)
+    ).withColumn("id", F.monotonically_increasing_id())
+    dense = {r["id"]: list(r)[1:] for r in enc.transform(new, keep=["id"]).collect()}
+    sparse = {r["id"]: list(r["v"]) for r in enc.vectors(new, "v", keep=["id"]).collect()}
+    assert dense == sparse and len(dense) == 5

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.operators.sizing import checked_broadcast
 
-ACCURACY = 20_000
+ACCURACY = 100_000
 MARGIN = 5.0 / ACCURACY
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.errors import (
     DENOM_FLOOR,
-    clamp,
     metric_aggregates,
     rmsle,
     squared_log_error,
@@ -434,7 +433,3 @@ def shift_summary(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFram
         .join(js[0].unionByName(js[1]), "period", "left")
         .withColumn("js_from_train", F.coalesce("js_from_train", F.lit(0.0)))
     )
-
-
-def clamped(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, clamp(F.col(col)))

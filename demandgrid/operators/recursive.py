@@ -17,9 +17,14 @@ from demandgrid.functions.arrays import STATS, back, known_tail, let
 from demandgrid.functions.errors import decode_target
 from demandgrid.operators.models import FittedPanelModel, Linear
 from demandgrid.operators.prep import recent_history
+from demandgrid.session import materialize
 from demandgrid.settings import FeatureSettings
 
 
+# a plan this many steps deep is still quick to analyse; longer horizons write in between
+CUT_EVERY = 16
+
+
 def history_terms(settings: FeatureSettings, col: str) -> dict[str, object]:
     """Feature name -> function of the value array, for lags and rolling columns of ``col``."""
     out = {}
@@ -124,11 +129,13 @@ def recursive_trees(
     settings: FeatureSettings,
     target: str,
     steps: int,
+    cut_every: int = CUT_EVERY,
 ) -> DataFrame:
     """The same recursion for a tree model, with ``steps`` map-only model calls.
 
     The value array is the state and travels with the row, so a step is a projection and
-    a JVM prediction: no window, shuffle, checkpoint or driver round trip per day.
+    a JVM prediction: no window, shuffle or driver round trip per day. Every ``cut_every``
+    steps the state, a row per series, is written to keep the plan short.
     """
     keys, date = settings.keys, settings.date_col
     terms = history_terms(settings, target)
@@ -150,6 +157,8 @@ def recursive_trees(
         state = scored.select(
             *keys, "_days", "_tail", F.concat("_vals", F.array("_prediction")).alias("_vals")
         )
+        if (i + 1) % cut_every == 0 and i + 1 < steps:
+            state = materialize(state, "steps")
     return state.withColumn("_at", F.explode(_by_day("_vals"))).select(
         *keys,
         F.col("_at.day.d").alias(date),

@@ -13,7 +13,8 @@ from demandgrid.functions.calendar import calendar_columns
 from demandgrid.functions.errors import clamp
 from demandgrid.operators.encode import Ordinal
 from demandgrid.operators.models import TreeSettings, fit_trees, tree_columns
-from demandgrid.operators.recursive import series_tails
+from demandgrid.operators.recursive import CUT_EVERY, series_tails
+from demandgrid.session import materialize
 
 # fixed values: other names of calendar parts in run files
 ALIASES = {"day": "dayofmonth", "week": "weekofyear"}
@@ -136,6 +137,8 @@ def boosted_forecast(
         state = model.transform(state.withColumns(inputs)).select(
             *by, "_days", "_tail", *ends, F.concat("_vals", F.array("_prediction")).alias("_vals")
         )
+        if (i + 1) % CUT_EVERY == 0 and i + 1 < steps:
+            state = materialize(state, "steps")
     path = F.slice("_vals", F.size("_tail") + 1, F.greatest(F.size("_days"), F.lit(1)))
     for i, d in reversed(list(enumerate(s.differences))):
         grown = F.aggregate(path, F.col(f"_end{i}"), _undo(d))

@@ -47,6 +47,8 @@ from demandgrid.plans.training import (
     train_panel,
     walk_forward_evaluation,
 )
+from demandgrid.plans.runs import load_run_model, save_run_model
+from demandgrid.session import scratch_path
 from demandgrid.settings import FeatureSettings, Roll
 
 SMALL = FeatureSettings(
@@ -130,6 +132,36 @@ def _(spark, folder):
         "predicted", "log_predicted"))
 
 
+DIRECT = """
+rp AS (SELECT p.store_nbr, p.family, p.date, p.onpromotion AS x2,
+         coalesce(rx.x1, ln(1 + l.sales)) AS x1 FROM panel p
+       LEFT JOIN rx USING (store_nbr, family, date)
+       JOIN train l ON l.uid = p.uid AND l.date = (SELECT c - 1 FROM cut)
+       WHERE p.date > (SELECT lo FROM rng))"""
+DIRECT_OUT = f"""SELECT store_nbr, family, {day('date')},
+  {rnd('greatest(b + w1 * x1 + w2 * x2, 0)', 'log_predicted')} FROM rp, rf"""
+
+
+def _direct(model, rows):
+    out = model.predict(rows).withColumn("log_predicted", F.log1p("predicted"))
+    return tidy(out.select("store_nbr", "family", "date", "log_predicted"))
+
+
+@query("ridge_direct_two_features", sql(DIRECT_OUT, TWO, DIRECT))
+def _(spark, folder):
+    model, rows, *_ = _two_features(spark, folder)
+    return _direct(model, rows)
+
+
+@query("saved_model_two_features", sql(DIRECT_OUT, TWO, DIRECT))
+def _(spark, folder):
+    """The same predictions from the stored and loaded model."""
+    model, rows, *_ = _two_features(spark, folder)
+    path = scratch_path(spark, "model")
+    save_run_model(spark, model, path)
+    return _direct(load_run_model(spark, path), rows)
+
+
 @query("ridge_fit_predict")
 def _(spark, folder):
     return tidy(direct_predictions(trained(spark, folder, "ridge", "log1p")), 4)
@@ -312,6 +344,72 @@ def _(spark, folder):
     return tidy(out.withColumns({c: F.to_json(c) for c in maps}), 4)
 
 
+BY_TYPE = f"""SELECT count(*) AS n, {rnd('avg(abs_log_err)', 'mean_abs_log_err')},
+  {rnd('sqrt(avg(sle))', 'rmsle')}"""
+
+
+@query(
+    "error_tree_single_split",
+    sql(f"{BY_TYPE} FROM enriched GROUP BY type", SIGNALS, PREDS, VELOCITY, ENRICHED),
+)
+def _(spark, folder):
+    """With one two-valued feature and depth one the leaves are its values."""
+    out = error_tree_leaves(enriched(spark, folder), ["type"], max_depth=1)
+    return tidy(out.drop("leaf_id", "rules"))
+
+
+@query(
+    "residual_clusters_by_type",
+    sql(
+        f"""{BY_TYPE}, {rnd('sum(predicted - actual) / greatest(sum(actual), 1e-10) * 100',
+                            'bias_pct')}, '{{"' || type || '":1.0}}' AS type_mix FROM enriched
+        WHERE abs_log_err >= (SELECT quantile_cont(abs_log_err, 0.8) FROM enriched)
+        GROUP BY type""",
+        SIGNALS,
+        PREDS,
+        VELOCITY,
+        ENRICHED,
+    ),
+)
+def _(spark, folder):
+    """Two clusters on one two-valued feature are its values."""
+    out = residual_clusters(enriched(spark, folder), ["type"], k=2)
+    keep = ("n", "mean_abs_log_err", "rmsle", "bias_pct")
+    return tidy(out.select(*keep, F.to_json("type_mix").alias("type_mix")))
+
+
+MULTI = """
+mr AS (SELECT log_resid AS y, CAST(onpromotion AS DOUBLE) AS x1, CAST(dayofweek AS DOUBLE) AS x2,
+         row_number() OVER (ORDER BY md5(CAST(date AS VARCHAR) || '-' || store_nbr || '-' || family
+           || '-42'), date, store_nbr, family) - 1 AS r, count(*) OVER () AS n FROM enriched),
+mt AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) * count(*) + 1 AS s11,
+         var_pop(x2) * count(*) + 1 AS s22, covar_pop(x1, x2) * count(*) AS s12,
+         covar_pop(x1, y) * count(*) AS s1y, covar_pop(x2, y) * count(*) AS s2y,
+         count(*) AS n_train FROM mr WHERE r >= floor(n * 0.25)),
+mw AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1,
+         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2 FROM mt),
+mh AS (SELECT 1 - sum(pow(y - (my + w1 * (x1 - m1) + w2 * (x2 - m2)), 2))
+         / (var_pop(y) * count(*)) AS r2, count(*) AS n_val FROM mr, mw WHERE r < floor(n * 0.25))"""
+
+
+@query(
+    "multiaccuracy_two_features",
+    sql(
+        f"""SELECT {rnd('r2', 'r2')}, n_train, n_val, 'onpromotion' AS feature,
+          {rnd('w1', 'coef', 8)} FROM mw, mh UNION ALL
+        SELECT {rnd('r2', 'r2')}, n_train, n_val, 'dayofweek', {rnd('w2', 'coef', 8)} FROM mw, mh""",
+        SIGNALS,
+        PREDS,
+        VELOCITY,
+        ENRICHED,
+        MULTI,
+    ),
+)
+def _(spark, folder):
+    out = multiaccuracy_audit(enriched(spark, folder), ["onpromotion", "dayofweek"])
+    return tidy(out, 6, coef=8)
+
+
 @query("audit_job")
 def _(spark, folder):
     preds, rows, _ = holdout_with_metadata(spark, folder)

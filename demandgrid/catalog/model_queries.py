@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.catalog.base import (
@@ -162,6 +165,51 @@ def _(spark, folder):
     return _direct(load_run_model(spark, path), rows)
 
 
+GROUP_MEANS = """
+gm AS (SELECT type, avg(sales) AS m FROM merged WHERE date < (SELECT c FROM cut) GROUP BY 1)"""
+
+
+def _by_type(spark, folder, kinds):
+    """Models with the store type as only feature, scored once per type."""
+    train, _ = merged(spark, folder)
+    types = train.select("type").distinct()
+    out = []
+    for kind, options in kinds.items():
+        model = fit_panel_model(train, kind, "sales", ["type"], [], options=options)
+        scored = model.predict(types).select("type", F.log1p("predicted").alias("log_predicted"))
+        out.append(scored.withColumn("model", F.lit(kind)))
+    return tidy(reduce(DataFrame.unionByName, out), 4)
+
+
+@query(
+    "glm_group_means",
+    sql(
+        f"""SELECT model, type, {rnd('ln(1 + m)', 'log_predicted', 4)} FROM gm,
+        (VALUES ('tweedie'), ('poisson')) k(model)""",
+        SIGNALS,
+        GROUP_MEANS,
+    ),
+)
+def _(spark, folder):
+    """Without penalty a log-link model of one grouping predicts the group means."""
+    free = {"alpha": 0.0, "tol": 1e-12}
+    return _by_type(spark, folder, {"tweedie": free, "poisson": free})
+
+
+@query(
+    "gbt_group_means",
+    sql(
+        f"SELECT 'trees' AS model, type, {rnd('ln(1 + m)', 'log_predicted', 4)} FROM gm",
+        SIGNALS,
+        GROUP_MEANS,
+    ),
+)
+def _(spark, folder):
+    """A single unsampled tree on one two-valued feature predicts the group means."""
+    one = TreeSettings(n_estimators=1, max_depth=1, subsample=1.0, colsample=1.0)
+    return _by_type(spark, folder, {"trees": {"trees": one}})
+
+
 @query("ridge_fit_predict")
 def _(spark, folder):
     return tidy(direct_predictions(trained(spark, folder, "ridge", "log1p")), 4)
@@ -229,6 +277,49 @@ def _(spark, folder):
     )
 
 
+WALK = """
+wk AS (SELECT * FROM (VALUES (16, 'val_16d'), (30, 'val_30d')) w(n, label)),
+wx AS (SELECT uid, date, ln(1 + sales) AS y, CAST(onpromotion AS DOUBLE) AS x2,
+         lag(ln(1 + sales)) OVER (PARTITION BY uid ORDER BY date) AS x1 FROM train),
+wr AS (SELECT wk.*, wx.*, date < (SELECT c FROM cut) - n AS before FROM wx, wk
+       WHERE x1 IS NOT NULL),
+wm AS (SELECT n, label, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2,
+         var_pop(x1) * count(*) + 10 AS s11, var_pop(x2) * count(*) + 10 AS s22,
+         covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS s1y,
+         covar_pop(x2, y) * count(*) AS s2y, count(*) AS n_train
+       FROM wr WHERE before GROUP BY 1, 2),
+ww AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1,
+         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2 FROM wm),
+wf AS (SELECT *, my - w1 * m1 - w2 * m2 AS b FROM ww),
+wp AS (SELECT wf.n, x.uid, x.date, x.y AS p, x.y AS y FROM wf JOIN wx x
+         ON x.date = (SELECT c FROM cut) - wf.n - 1
+  UNION ALL SELECT wf.n, x.uid, x.date, wf.b + wf.w1 * wp.p + wf.w2 * x.x2, x.y
+       FROM wp JOIN wf ON wf.n = wp.n JOIN wx x ON x.uid = wp.uid AND x.date = wp.date + 1),
+w1 AS (SELECT n, sqrt(avg(pow(y - greatest(b + w1 * x1 + w2 * x2, 0), 2))) AS one, count(*) AS nv
+       FROM wr JOIN wf USING (n) WHERE NOT before GROUP BY 1),
+w2 AS (SELECT n, sqrt(avg(pow(y - greatest(p, 0), 2))) AS rec FROM wp
+       WHERE date >= (SELECT c FROM cut) - n GROUP BY 1)"""
+
+
+@query(
+    "walk_forward_two_features",
+    sql(
+        f"""SELECT label AS "window", {rnd('one', 'one_shot_rmsle')},
+        {rnd('rec', 'recursive_rmsle')}, n_train, nv AS n_val
+        FROM wf JOIN w1 USING (n) JOIN w2 USING (n)""",
+        WALK,
+        recursive=True,
+    ),
+)
+def _(spark, folder):
+    t = retail_tables(spark, folder)
+    out = walk_forward_evaluation(
+        t["train"], t["test"], AR1, (16, 30), "ridge", "log1p", None, {"alpha": 10.0}, "series",
+        ([], ["log_sales_lag_1", "onpromotion"]),
+    )
+    return tidy(out)
+
+
 ENRICHED_OUT = f"""SELECT {day('date')}, store_nbr, family, actual, predicted, type, cluster, city,
   state, onpromotion, CAST(is_holiday AS BIGINT) AS is_holiday, dcoilwtico,
   {rnd('velocity_mean', 'velocity_mean')}, velocity_tier, CAST(dayofweek AS BIGINT) AS dayofweek,

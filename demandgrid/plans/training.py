@@ -97,8 +97,10 @@ def fit_on(
     label: str,
     transform: str,
     options: Mapping | None = None,
+    features: tuple[Sequence[str], Sequence[str]] | None = None,
 ) -> FittedPanelModel:
-    categorical, numeric = feature_roles(rows, settings)
+    """``features`` names (categorical, numeric) inputs; by default the allow-list."""
+    categorical, numeric = features or feature_roles(rows, settings)
     return fit_panel_model(
         rows, kind, label, categorical, numeric, settings.history_names(), transform, options
     )
@@ -165,6 +167,7 @@ def walk_forward_evaluation(
     holidays: DataFrame | None = None,
     options: Mapping | None = None,
     strategy: str = "auto",
+    features: tuple[Sequence[str], Sequence[str]] | None = None,
 ) -> DataFrame:
     """Per window one-shot and recursive RMSLE with row counts.
 
@@ -176,7 +179,7 @@ def walk_forward_evaluation(
     target = settings.target
     parts = []
     for before, held, name in walk_forward_split(known, windows):
-        model = fit_on(before, kind, used, label, transform, options)
+        model = fit_on(before, kind, used, label, transform, options, features)
         direct = model.predict(held).select(*ROW, F.col("predicted").alias("one_shot"))
         rolled = recursive_forecast(model, before, held, used, label).withColumnRenamed(
             "predicted", "recursive"

@@ -144,19 +144,17 @@ def recursive_trees(
     state = _paths(history, horizon, settings, target, own)
     of_series = {n: e for n, e in codes.items() if n in keys}
     state = state.withColumn("_vals", F.col("_tail"))
+    # the day is found by how many values were added, so every step has the same columns
+    day = F.get("_days", F.size("_vals") - F.size("_tail"))
+    inputs = {f"_x_{n}": e for n, e in of_series.items()}
+    inputs |= {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in own}
+    inputs |= {
+        f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0)) for n, t in terms.items() if n in codes
+    }
+    grown = F.concat("_vals", F.array("_prediction")).alias("_vals")
     for i in range(steps):
-        day = F.get("_days", F.lit(i))
-        inputs = {f"_x_{n}": e for n, e in of_series.items()}
-        inputs |= {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in own}
-        inputs |= {
-            f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0))
-            for n, t in terms.items()
-            if n in codes
-        }
         scored = model.trees.transform(state.withColumns(inputs))
-        state = scored.select(
-            *keys, "_days", "_tail", F.concat("_vals", F.array("_prediction")).alias("_vals")
-        )
+        state = scored.select(*keys, "_days", "_tail", grown)
         if (i + 1) % cut_every == 0 and i + 1 < steps:
             state = materialize(state, "steps")
     return state.withColumn("_at", F.explode(_by_day("_vals"))).select(

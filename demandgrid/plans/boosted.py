@@ -130,13 +130,13 @@ def boosted_forecast(
     state = state.withColumn("_tail", F.coalesce("_tail", F.array().cast("array<double>")))
     state = state.withColumn("_vals", F.col("_tail"))
     steps = future.select("ds").distinct().count()
+    # the day is found by how many values were added, so every step has the same columns
+    day = F.get("_days", F.size("_vals") - F.size("_tail"))
+    inputs = {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in known}
+    inputs |= {f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0)) for n, t in terms.items()}
+    longer = F.concat("_vals", F.array("_prediction")).alias("_vals")
     for i in range(steps):
-        day = F.get("_days", F.lit(i))
-        inputs = {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in known}
-        inputs |= {f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0)) for n, t in terms.items()}
-        state = model.transform(state.withColumns(inputs)).select(
-            *by, "_days", "_tail", *ends, F.concat("_vals", F.array("_prediction")).alias("_vals")
-        )
+        state = model.transform(state.withColumns(inputs)).select(*by, "_days", "_tail", *ends, longer)
         if (i + 1) % CUT_EVERY == 0 and i + 1 < steps:
             state = materialize(state, "steps")
     path = F.slice("_vals", F.size("_tail") + 1, F.greatest(F.size("_days"), F.lit(1)))

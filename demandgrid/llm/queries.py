@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, packing, simhash, vectors
+from demandgrid.llm import bpe, packing, simhash, substrings, vectors
 from demandgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,5 +36,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_simhash, op9_vectors, op10_bpe)}
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op4_substrings, op8_simhash, op9_vectors, op10_bpe)}
 SQL: dict[str, str] = {}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, packing, simhash, substrings, vectors
-from demandgrid.llm.common import table
+from demandgrid.llm import bpe, language, packing, quality, secrets, simhash, substrings, vectors
+from demandgrid.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,5 +43,41 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_substrings, op8_simhash, op9_vectors, op10_bpe)}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality.score(docs, machine)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.sample_counts(docs))
+
+    def joined(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(one, ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.learn(docs, ~held_out()))
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_secrets, op7_language, op8_simhash, op9_vectors, op10_bpe)}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, language, packing, quality, secrets, simhash, substrings, vectors
+from demandgrid.llm import bpe, language, order_minhash, packing, quality, secrets, simhash, substrings, vectors, warc
 from demandgrid.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,5 +79,34 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_substrings, op5_secrets, op7_language, op8_simhash, op9_vectors, op10_bpe)}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def row(name):
+        return F.expr(f"try_cast(regexp_extract({name}, '<urn:row:(.*)>', 1) AS bigint)")
+
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        row("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        row("refers_to").alias("refers_to"),
+    )
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    printed = order_minhash.fingerprints(docs)
+    paired = order_minhash.with_next(
+        printed, {"next_print": F.col("fingerprint"), "next_text": F.col("text")}
+    )
+    n = F.length("text")
+    gone = F.shiftright(n, 1)
+    edited = F.concat(F.substring("text", F.lit(1), n - gone), F.substring("next_text", F.lit(1), gone))
+    both = order_minhash.fingerprints(paired.withColumn("edited", edited), "edited", "edited_print")
+    return both.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text(F.col("fingerprint")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("edited_print")).alias("near_edited"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality, op4_substrings, op5_secrets, op6_fingerprints, op7_language, op8_simhash, op9_vectors, op10_bpe)}
 SQL: dict[str, str] = {}

@@ -2,7 +2,8 @@
 
 Each language has a raw-content zstandard dictionary of sample text. A text is cut into blocks,
 every block is compressed with each dictionary, and the language with the fewest bytes in all
-wins. A narrow lead over the second is a rejection.
+wins. Unless its lead over the second is clear, the text is compressed again at a higher level;
+a lead that stays narrow is a rejection.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from demandgrid.llm.common import free_name, slices, widened
 SAMPLE_TEXTS = 120  # labelled texts a language's dictionary is made of, at most
 DICTIONARY_BYTES = 96 << 10
 BLOCK = 4096
-LEVEL = 3
-SHORT, SHORT_LEVEL = 512, 19  # short texts leave few bytes to tell languages apart
-NARROW = 0.004
+LEVEL, THOROUGH = 3, 12  # compression levels of the first and the second look
+CLEAR = 0.1  # lead that needs no second look
+SHORT = 512  # bytes up to which a lead of a few bytes says too little to reject
+NARROW = 0.01
 SLICE_BYTES = 4 << 20
 
 _LETTERS = bytes(
@@ -40,7 +42,7 @@ def learn(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
 
     The rows are those with the smallest digest of id and text. Rows without text or language
     teach nothing. Each row gives ``DICTIONARY_BYTES`` characters at most, so what reaches the
-    driver is bounded for each language.
+    driver is bounded for each language. Languages come in the order of how usual they are.
     """
     digest = F.xxhash64(F.col(doc_id), F.col(text))
     rows = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
@@ -48,14 +50,14 @@ def learn(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
     )
     first = Window.partitionBy("lang").orderBy("digest")
     picked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS)
-    made: dict[str, list[bytes]] = {}
+    usual = docs.where(use & F.col(lang).isNotNull()).groupBy(lang).count().collect()  # a row a language
+    made: dict[str, list[bytes]] = {r[0]: [] for r in sorted(usual, key=lambda r: (-r[1], r[0]))}
     for row in picked.orderBy("lang", "digest").toLocalIterator():
-        made.setdefault(row["lang"], []).append(letters_of(row["text"]))
-    share = {k: max(1, DICTIONARY_BYTES // 8) for k in made}
+        made[row["lang"]].append(letters_of(row["text"])[: DICTIONARY_BYTES // 8])
     return {
         k: content
-        for k, texts in sorted(made.items())
-        if (content := b" ".join(t[: share[k]] for t in texts)[:DICTIONARY_BYTES].strip())
+        for k, texts in made.items()
+        if (content := b" ".join(texts)[:DICTIONARY_BYTES].strip())
     }
 
 
@@ -66,9 +68,9 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
-        self.block = [_compressor(d, LEVEL) for d in dictionaries.values()]
-        self.short = [_compressor(d, SHORT_LEVEL) for d in dictionaries.values()]
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.quick = [_compressor(d, LEVEL) for d in dictionaries.values()]
+        self.thorough = [_compressor(d, THOROUGH) for d in dictionaries.values()]
+        self.plain = zstandard.ZstdCompressor(level=THOROUGH, write_content_size=False)
 
     @classmethod
     def of(cls, dictionaries: dict[str, bytes]) -> Classifier:
@@ -84,14 +86,19 @@ class Classifier:
             return "und", 0.0, bool(self.langs)
         if not self.langs:
             return "und", 0.0, False
-        coders = self.short if len(letters) <= SHORT else self.block
         blocks = [letters[i : i + BLOCK] for i in range(0, len(letters), BLOCK)]
+        best, lead = self._lead(blocks, self.quick)
+        if lead < CLEAR:
+            best, lead = self._lead(blocks, self.thorough)
+        return self.langs[best], lead, lead < NARROW and len(letters) > SHORT
+
+    def _lead(self, blocks: list[bytes], coders: list) -> tuple[int, float]:
+        """The language with the fewest bytes, and how far the second is behind."""
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = [s for i, s in enumerate(sizes) if i != best]
         second = min(rest) if rest else sum(len(self.plain.compress(b)) for b in blocks)
-        lead = max(0.0, (second - sizes[best]) / second)
-        return self.langs[best], lead, lead < NARROW and len(letters) > SHORT
+        return best, max(0.0, (second - sizes[best]) / second)
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -108,7 +115,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     The score is the winner's lead over the second in parts of the second's bytes. Rejected are
     texts over ``SHORT`` bytes whose lead is under ``NARROW``, and texts without any letter
     (``und``; null and empty ones too). Short texts are not rejected for their lead: a byte more
-    or less says too little. Equal sizes fall to the language first in order. Without
+    or less says too little. Equal sizes fall to the more usual language. Without
     dictionaries all is ``und`` and nothing is rejected. Columns of the new names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")

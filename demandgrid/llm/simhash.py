@@ -121,7 +121,8 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 def thresholds(n: int, both: np.ndarray, groups: list[list[int]], max_bits: int) -> tuple[float, list[int]]:
     """Cheapest thresholds with the sum the principle asks for; -1 leaves a part out."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # an empty table gets the fewest probes
+    p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     table = []
     for bits in groups:

@@ -35,6 +35,15 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TOKEN_LEAST = 20  # letters of a token that the models judge
 RATIO_LEAST, RATIO_EACH = 12.0, 0.35  # log-likelihood ratio of a secret, in all and per letter
 DRAWN = 4000
+# Words that drawn ordinary identifiers are made of.
+WORDS = (
+    "account address amount array buffer cache client column config content count create current data date "
+    "default delete device document element error event file filter first format group handler header image "
+    "index input item key last length level line list loader local manager message method model name network "
+    "number object option order output package page parent path point process product query random record "
+    "request response result schema server service session source state status stream string table target "
+    "test time title total type update user value version view width window worker"
+).split()
 SLICE_BYTES = 4 << 20
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
@@ -73,10 +82,16 @@ def _free(text: str, base: list[Span]) -> Iterator[re.Match]:
             yield m
 
 
+def _judged(token: str) -> bool:
+    """Long enough, with letters and digits both."""
+    return len(token) >= TOKEN_LEAST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
 def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Transitions of labelled tokens in all texts: [ordinary, random] x letters x letters.
 
-    Random: what the base patterns catch. Ordinary: long tokens that they do not touch.
+    Random: what the base patterns catch. Ordinary: long tokens that they do not touch and that
+    the models would not judge, so a hidden secret never teaches the ordinary model.
     """
     cells = (len(ALPHABET) + 1) ** 2
 
@@ -93,7 +108,8 @@ def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                         value = ASSIGN.match(value).group(2)
                     np.add.at(total[1], _transitions(value), 1)
                 for m in _free(t, base):
-                    np.add.at(total[0], _transitions(m.group()), 1)
+                    if not _judged(m.group()):
+                        np.add.at(total[0], _transitions(m.group()), 1)
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_pydict({"cell": at, "n": total.ravel()[at]})
 
@@ -107,20 +123,28 @@ def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 def ratios(counts: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio of each transition, random over ordinary.
 
-    Drawn strings (hex, letters with digits, base64 letters; a fixed seed) stand beside the
-    labelled ones, each sample with the same weight, so a corpus without secrets works too.
+    Drawn samples (random hexadecimal, alphanumeric and base64 strings; words joined as in
+    identifiers; a fixed seed) stand beside those of the corpus with the same weight, so a
+    corpus without any sample works too.
     """
     size = len(ALPHABET) + 1
     rng = np.random.default_rng(5)
-    drawn = np.zeros(size * size)
+    drawn = np.zeros((2, size * size))
     for letters in ("0123456789abcdef", string.ascii_letters + string.digits, ALPHABET[:64]):
         for _ in range(DRAWN // 3):
-            token = "".join(rng.choice(list(letters), 32))
-            np.add.at(drawn, _transitions(token), 1)
-    ordinary, labelled = counts
-    spread = drawn + labelled * (drawn.sum() / labelled.sum() if labelled.sum() else 0)
+            np.add.at(drawn[1], _transitions("".join(rng.choice(list(letters), 32))), 1)
+    for _ in range(DRAWN):
+        words = [str(w) for w in rng.choice(WORDS, rng.integers(2, 5))]
+        style = rng.integers(4)
+        if style == 0:
+            words = [w.capitalize() for w in words]
+        token = ("" if style == 0 else "_-/"[style - 1]).join(words)
+        if rng.random() < 0.3:
+            token += str(rng.integers(0, 3000))
+        np.add.at(drawn[0], _transitions(token), 1)
+    both = [d + c * (d.sum() / c.sum() if c.sum() else 0) for d, c in zip(drawn, counts, strict=True)]
     tables = []
-    for table in (spread, ordinary):
+    for table in (both[1], both[0]):
         table = table.reshape(size, size)
         single = table.sum(axis=0) + 1.0
         single = single / single.sum()
@@ -133,7 +157,7 @@ def markov_spans(text: str, base: list[Span], table: np.ndarray) -> list[Span]:
     out = []
     for m in _free(text, base):
         token = m.group()
-        if len(token) < TOKEN_LEAST or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        if not _judged(token):
             continue
         ratio = float(table[_transitions(token)].sum())
         if ratio >= RATIO_LEAST and ratio >= RATIO_EACH * len(token):

@@ -116,11 +116,14 @@ def with_next(docs: DataFrame, columns: dict[str, Column], doc_id: str = "doc_id
     if not tops:
         return docs.withColumns({n: c for n, c in columns.items()})
     before = {r["top"]: tops[k - 1][part] for k, r in enumerate(tops)}
-    to = F.lit(None).cast("int")
-    for top, place in before.items():
-        to = F.when(id_.eqNullSafe(F.lit(top)), F.lit(place)).otherwise(to)
     known = [t for t in before if t is not None]
-    sent = docs.where(id_.isin(known) | (id_.isNull() if None in before else F.lit(False))).withColumn(part, to)
+    firsts, places = (F.array(*map(F.lit, x)) for x in (known, [before[t] for t in known]))
+    to = F.get(places, F.array_position(firsts, id_).cast("int") - 1) if known else F.lit(None).cast("int")
+    first = F.array_contains(firsts, id_) if known else F.lit(False)
+    if None in before:
+        to = F.when(id_.isNull(), F.lit(before[None])).otherwise(to)
+        first = F.coalesce(first, F.lit(False)) | id_.isNull()
+    sent = docs.where(first).withColumn(part, to)
     both = placed.withColumn(guest, F.lit(0)).union(sent.withColumn(guest, F.lit(1)))
     order = Window.partitionBy(part).orderBy(guest, id_.desc_nulls_last(), F.col(text).desc_nulls_last())
     return (

@@ -127,7 +127,7 @@ def _blocks(
     many = size > 1
     lead = bounds[:-1]
     bucket = (h[lead] >> np.uint64(20)) % np.uint64(buckets)
-    deal = np.argsort(bucket, kind="stable")
+    deal = np.lexsort((order[lead], bucket))  # by text in a bucket: its key repeats and compresses
     lead, many, bucket = lead[deal], many[deal], bucket[deal].astype(np.int64)
     cuts = runs(bucket)
     asked = pa.RecordBatch.from_arrays(
@@ -193,12 +193,13 @@ def _repeats(blocks: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
 
-def mark_repeats(docs: DataFrame, data: str, key: str) -> DataFrame:
+def mark_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(key, starts): the word positions in each text at which a repeated window starts.
 
-    ``key`` identifies a row's text; rows with equal keys must be equal texts.
+    ``key`` identifies a row's text; rows with equal keys must be equal texts. The rows of
+    ``docs`` are joined whole, so a later join by the key reuses their exchange.
     """
-    bytes_ = docs.agg(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
+    bytes_ = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, -(-bytes_ // BUCKET_BYTES))
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
@@ -242,10 +243,11 @@ def mark_repeats(docs: DataFrame, data: str, key: str) -> DataFrame:
                 keys = part.column(0).to_numpy()
                 yield _blocks(h, g, keys[doc], at - first[doc], buckets)
 
-    texts = docs.select(key, data)
-    near = _repeats(texts.mapInArrow(anchors, BLOCK_COLUMNS), buckets)
-    extended = texts.join(near.withColumnRenamed("key", "_near"), F.col(key) == F.col("_near"))
-    found = extended.select(key, data, "pos").mapInArrow(windows, BLOCK_COLUMNS)
+    data = F.col(text).cast("binary").alias("data")
+    near = _repeats(docs.select(key, data).mapInArrow(anchors, BLOCK_COLUMNS), buckets)
+    near = near.select(F.col("key").alias("_near"), F.col("pos").alias("_places"))
+    extended = docs.join(near, F.col(key) == F.col("_near"))
+    found = extended.select(key, data, "_places").mapInArrow(windows, BLOCK_COLUMNS)
     return _repeats(found, buckets).withColumnsRenamed({"key": key, "pos": "starts"})
 
 
@@ -258,12 +260,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Columns of the new names are replaced. Counts cover all texts given, whole.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    key, raw, starts = (free_name(docs, x) for x in ("_key", "_raw", "_starts"))
-    keyed = docs.withColumns({
-        key: F.xxhash64(F.lit(1), F.col(doc_id), F.lit(2), F.col(text)), raw: F.col(text).cast("binary"),
-    })
-    marked = mark_repeats(keyed, raw, key).withColumnsRenamed({key: "_of", "starts": starts})
-    joined = keyed.join(marked, F.col(key) == F.col("_of"), "left").drop("_of", key)
+    key, starts = free_name(docs, "_key"), free_name(docs, "_starts")
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(1), F.col(doc_id), F.lit(2), F.col(text)))
+    marked = mark_repeats(keyed, text, key).withColumnsRenamed({key: "_of", "starts": starts})
+    joined = keyed.join(marked, F.col(key) == F.col("_of"), "left")
+    raw = F.col(text).cast("binary").alias("_raw")
     schema = widened(docs, "n_words long, n_removed long, kept_text string")
     kept = docs.columns
 

@@ -23,7 +23,7 @@ from demandgrid.session import materialize
 
 WINDOW = 32
 MISSED = 0.01
-BLOCK = 1024
+BLOCK = 256
 KEY_BITS = 62
 
 

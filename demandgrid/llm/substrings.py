@@ -98,7 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column and the bounds of its rows; nulls are empty."""
-    column = pa.compute.fill_null(column, b"")
+    column = pa.compute.fill_null(column.cast(pa.binary()), b"")
     width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     _, ends, data = column.buffers()
     bounds = np.frombuffer(ends, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -201,6 +201,7 @@ def mark_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
     """
     bytes_ = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, -(-bytes_ // BUCKET_BYTES))
+    text_at, key_at = docs.columns.index(text), docs.columns.index(key)
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
 
@@ -221,11 +222,11 @@ def mark_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
-                words, first = word_hashes(*_bytes_of(part.column(1)))
+            for part in slices(batch, text_at, SLICE_BYTES):
+                words, first = word_hashes(*_bytes_of(part.column(text_at)))
                 size = np.diff(first)
                 last = np.maximum(first[1:] - WINDOW, first[:-1] - 1)  # last start of a window
-                near = part.column(2)
+                near = part.column(part.num_columns - 1)
                 doc = np.repeat(np.arange(len(size)), np.asarray(pa.compute.list_value_length(near)))
                 at = near.flatten().to_numpy() + first[doc]
                 low = np.maximum(at - (PERIOD - 1), first[doc])
@@ -240,14 +241,15 @@ def mark_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
                 h = _window_hash(words, _WORD, WINDOW)[at]
                 g = (_window_hash(words, _OTHER, WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
                 doc = np.searchsorted(first, at, side="right") - 1
-                keys = part.column(0).to_numpy()
+                keys = part.column(key_at).to_numpy()
                 yield _blocks(h, g, keys[doc], at - first[doc], buckets)
 
     data = F.col(text).cast("binary").alias("data")
     near = _repeats(docs.select(key, data).mapInArrow(anchors, BLOCK_COLUMNS), buckets)
     near = near.select(F.col("key").alias("_near"), F.col("pos").alias("_places"))
     extended = docs.join(near, F.col(key) == F.col("_near"))
-    found = extended.select(key, data, "_places").mapInArrow(windows, BLOCK_COLUMNS)
+    # all columns, though two are used: only an equal exchange is reused
+    found = extended.select(*docs.columns, "_places").mapInArrow(windows, BLOCK_COLUMNS)
     return _repeats(found, buckets).withColumnsRenamed({"key": key, "pos": "starts"})
 
 

@@ -56,7 +56,7 @@ def rnd(expr: str, name: str, digits: int = 6) -> str:
 
 
 PANEL = """
-o AS (SELECT CAST(n_regionkey AS BIGINT) AS store_nbr, o_orderpriority AS family,
+o AS MATERIALIZED (SELECT CAST(n_regionkey AS BIGINT) AS store_nbr, o_orderpriority AS family,
         CAST(o_orderdate AS DATE) AS d, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS sales,
         CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS onpromotion,
         count(*) AS n_orders
@@ -67,16 +67,16 @@ rng AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DAT
         FROM orders),
 spine AS (SELECT CAST(lo + CAST(i AS INTEGER) AS DATE) AS date
           FROM rng, LATERAL (SELECT unnest(range(0, date_diff('day', lo, hi) + 1)) AS i)),
-panel AS (SELECT k.store_nbr, k.family, s.date, coalesce(o.sales, 0.0) AS sales,
+panel AS MATERIALIZED (SELECT k.store_nbr, k.family, s.date, coalesce(o.sales, 0.0) AS sales,
             coalesce(o.onpromotion, 0) AS onpromotion,
-            CAST(date_diff('day', DATE '1990-01-01', s.date) AS BIGINT) * 100000
+            CAST(date_diff('day', DATE '1990-01-01', s.date) AS BIGINT) * 100000000000
               + k.store_nbr * 10 + CAST(substr(k.family, 1, 1) AS BIGINT) AS id,
             CAST(k.store_nbr AS VARCHAR) || '_' || k.family AS uid
           FROM k CROSS JOIN spine s LEFT JOIN o
             ON o.store_nbr = k.store_nbr AND o.family = k.family AND o.d = s.date),
 cut AS (SELECT CAST(hi - 15 AS DATE) AS c, hi FROM rng),
-train AS (SELECT * FROM panel WHERE date < (SELECT c FROM cut)),
-val AS (SELECT * FROM panel WHERE date >= (SELECT c FROM cut))"""
+train AS MATERIALIZED (SELECT * FROM panel WHERE date < (SELECT c FROM cut)),
+val AS MATERIALIZED (SELECT * FROM panel WHERE date >= (SELECT c FROM cut))"""
 
 SIGNALS = """
 stores AS (SELECT CAST(r_regionkey AS BIGINT) AS store_nbr, min(n_name) AS city,
@@ -96,15 +96,15 @@ oilf AS (SELECT s.date, last_value(px IGNORE NULLS) OVER (ORDER BY s.date
          FROM spine s LEFT JOIN oil USING (date)),
 oilb AS (SELECT date, coalesce(price, first_value(price IGNORE NULLS) OVER (ORDER BY date
            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM oilf),
-merged AS (SELECT p.*, s.city, s.state, s.type, s.cluster, f.price AS dcoilwtico,
+merged AS MATERIALIZED (SELECT p.*, s.city, s.state, s.type, s.cluster, f.price AS dcoilwtico,
              CASE WHEN h.date IS NULL THEN 0 ELSE 1 END AS is_holiday,
              coalesce(t.transactions, -1) AS transactions
            FROM panel p LEFT JOIN stores s USING (store_nbr) LEFT JOIN oilf f USING (date)
              LEFT JOIN hol h USING (date) LEFT JOIN txn t USING (date, store_nbr))"""
 
 PREDS = """
-step AS (SELECT v.*, date_diff('day', (SELECT c FROM cut), v.date) AS s FROM val v),
-preds AS (SELECT v.date, v.store_nbr, v.family, v.id, v.uid, v.sales AS actual,
+step AS MATERIALIZED (SELECT v.*, date_diff('day', (SELECT c FROM cut), v.date) AS s FROM val v),
+preds AS MATERIALIZED (SELECT v.date, v.store_nbr, v.family, v.id, v.uid, v.sales AS actual,
             n.sales AS naive, sn.sales AS predicted
           FROM step v
           JOIN train n ON n.uid = v.uid AND n.date = (SELECT c FROM cut) - 1

@@ -208,15 +208,19 @@ class FittedPanelModel:
     trees: PipelineModel | None = None
     history: Sequence[str] = field(default_factory=tuple)
 
-    def static_score(self, available: Sequence[str]) -> Column:
-        """Linear score without the history features: intercept, numbers and categories.
+    def static_score(self, available: Sequence[str], skip: Sequence[str] | None = None) -> Column:
+        """Linear score without the features in ``skip``: intercept, numbers and categories.
+
+        By default it leaves out all history features; a recursion leaves out only those it
+        computes itself, lags of columns that are known ahead stay in.
 
         A category costs one lookup in a literal map instead of a column per level.
         """
         w = self.linear.weights
         score = F.lit(float(self.linear.intercept))
-        for c in self.encoder.numeric:
-            if c in self.history or c not in available:
+        skip = self.history if skip is None else skip
+        for c in dict.fromkeys([*self.encoder.numeric, *self.history]):
+            if c in skip or c not in available or c not in w:
                 continue
             score = score + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(w[c])
         for c, values in self.encoder.categories.items():

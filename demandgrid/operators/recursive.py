@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions.arrays import STATS, back, known_tail, let
 from demandgrid.functions.errors import decode_target
 from demandgrid.operators.models import FittedPanelModel, Linear
-from demandgrid.operators.prep import recent_history
 from demandgrid.session import materialize
 from demandgrid.settings import FeatureSettings
 
@@ -47,10 +46,14 @@ def series_tails(
 ) -> DataFrame:
     """Last ``length`` target values per series, oldest first, as ``_tail``.
 
-    Only rows within ``length`` days of the newest date are read, so the arrays are
-    bounded before they are collected.
+    Counted per series, whenever it ends. The rank filter is a group limit that Spark also
+    applies before the shuffle, so the arrays are bounded before they are collected.
     """
-    recent = recent_history(history.select(*keys, date, target), length, date)
+    newest = Window.partitionBy(*keys).orderBy(F.col(date).desc())
+    recent = (
+        history.select(*keys, date, target)
+        .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= length)
+    )
     pairs = F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(target).alias("y"))))
     values = F.transform(pairs, lambda p: p["y"].cast("double"))
     return recent.groupBy(*keys).agg(values.alias("_v")).select(
@@ -108,7 +111,7 @@ def recursive_linear(
 
     keys, date = settings.keys, settings.date_col
     paths = _paths(
-        history, horizon, settings, target, {"s": model.static_score(horizon.columns)}
+        history, horizon, settings, target, {"s": model.static_score(horizon.columns, tuple(terms))}
     )
     rolled = F.aggregate("_days", F.col("_tail"), step)
     return (

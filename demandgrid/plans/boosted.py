@@ -127,7 +127,9 @@ def boosted_forecast(
         ends = series_tails(levels, by, "ds", f"_level{i}", d)
         state = state.join(ends.withColumnRenamed("_tail", f"_end{i}"), by, "left")
     ends = [f"_end{i}" for i in range(len(s.differences))]
-    state = state.withColumn("_tail", F.coalesce("_tail", F.array().cast("array<double>")))
+    # a series without history starts from nothing, its horizon rows stay
+    nothing = F.array().cast("array<double>")
+    state = state.withColumns({c: F.coalesce(c, nothing) for c in ["_tail", *ends]})
     state = state.withColumn("_vals", F.col("_tail"))
     steps = future.select("ds").distinct().count()
     # the day is found by how many values were added, so every step has the same columns

@@ -99,9 +99,9 @@ def sales_panel(spark: SparkSession, folder: str, grain: str = "region") -> Data
 
 
 def row_id():
-    """Stable row id from the key of a panel row."""
+    """Stable row id from the key of a panel row; ten digits are for the store."""
     days = F.date_diff(F.col("date"), F.lit("1990-01-01").cast("date")).cast("bigint")
-    return days * 100000 + F.col("store_nbr") * 10 + F.substring("family", 1, 1).cast("bigint")
+    return days * 100_000_000_000 + F.col("store_nbr") * 10 + F.substring("family", 1, 1).cast("bigint")
 
 
 def stores(spark: SparkSession, folder: str) -> DataFrame:

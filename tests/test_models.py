@@ -4,6 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from demandgrid.operators.models import Linear
+from demandgrid.operators.models import FittedPanelModel
+from demandgrid.operators.encode import OneHot
+from demandgrid.operators.recursive import recursive_forecast
 from demandgrid.operators.models import TreeSettings, fit_ridge, fit_tweedie
 from demandgrid.operators.recursive import recursive_trees
 from demandgrid.plans.boosted import BoostedSettings, boosted_forecast
@@ -195,3 +199,33 @@ def test_boosted_panel_undoes_differences(panel_of):
     rows = boosted_forecast(hist, future, settings).orderBy("unique_id", "ds").collect()
     got = [r["forecast"] for r in rows]
     np.testing.assert_allclose(got, [180, 183, 186, 50, 50, 50], atol=0.5)
+
+
+def test_recursion_keeps_weights_of_lags_that_are_known_ahead(spark, panel_of):
+    """Intercept 1 and weight 5 on yesterday's promotions, which are 2: 11 each day."""
+    linear = Linear(["onpromotion_lag_1"], [5.0], 1.0)
+    model = FittedPanelModel(
+        "ridge", "sales", "raw", (), ("onpromotion_lag_1",), OneHot({}, ["onpromotion_lag_1"]),
+        linear=linear, history=("onpromotion_lag_1",),
+    )
+    settings = FeatureSettings(lags={"onpromotion": (1,)})
+    days = panel_of({(1, "A"): [0, 0]}, dt.date(2017, 1, 4)).withColumn("onpromotion_lag_1", F.lit(2.0))
+    got = recursive_forecast(model, panel_of({(1, "A"): [3, 4, 5]}), days, settings, "sales")
+    assert [r["predicted"] for r in got.collect()] == [11.0, 11.0]
+
+
+def test_boosted_panel_keeps_series_that_end_early_or_are_new(panel_of):
+    data = {(1, "A"): range(1, 41), (2, "A"): range(1, 36)}
+    uid = F.concat_ws("_", "store_nbr", "family").alias("unique_id")
+    hist = panel_of(data).select(uid, F.col("date").alias("ds"), F.col("sales").alias("y"))
+    ahead = panel_of({(s, "A"): [0] * 3 for s in (1, 2, 3)}, dt.date(2017, 2, 10))
+    settings = BoostedSettings(
+        lags=(1,), differences=(1,), date_features=(),
+        trees=TreeSettings(n_estimators=1, max_depth=1, min_child_samples=1),
+    )
+    rows = boosted_forecast(hist, ahead.select(uid, F.col("date").alias("ds")), settings).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["unique_id"], r["ds"])):
+        got.setdefault(r["unique_id"], []).append(r["forecast"])
+    # every difference is 1: each series goes on from its own last value
+    assert got == {"1_A": [41.0, 42.0, 43.0], "2_A": [36.0, 37.0, 38.0], "3_A": [1.0, 2.0, 3.0]}

@@ -17,7 +17,10 @@ from demandgrid.llm.common import held_out, table
 from demandgrid.llm.queries import TOKENIZER
 from demandgrid.session import materialize
 
-SHINGLE, MAX_BITS = 5, 7  # words of a shingle, bits that near copies differ in at most
+SHINGLE = 5  # words
+#: Near copies are within MAX_BITS on one of the WORDS of 64 bits and within TOTAL_BITS over all.
+#: Texts with a shingle similarity of 0.8 differ in 58 of 384 bits on average, deviation 7.
+WORDS, MAX_BITS, TOTAL_BITS = 6, 7, 70
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated rows of one id one stays.
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    grouped = simhash.near_duplicates(docs.where(worded), MAX_BITS, SHINGLE)
+    grouped = simhash.near_duplicates(
+        docs.where(worded), MAX_BITS, SHINGLE, words=WORDS, total_bits=TOTAL_BITS
+    )
     first = grouped.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where(worded).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where(~worded))

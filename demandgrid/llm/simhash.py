@@ -18,85 +18,118 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, runs, slices, whole_groups, widened
+from demandgrid.llm.common import free_name, slices, whole_groups, widened
 from demandgrid.llm.components import connected_components
 from demandgrid.session import materialize
 
 BITS = 64
 BLOCK = 8192
-PROBE_COST = 200.0  # of a shuffled probe, in verified candidates
+ROWS = 64  # of a group that are compared with the rest at once
+PROBE_COST = 2000.0  # of a shuffled probe, in verified candidates
 SLICE_BYTES = 4 << 20
 
 
-def simhash(data: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """Fingerprint of UTF-8 bytes: majority of the shingles' hashes in each bit, 0 if no words.
+def simhash(data: bytes | None, shingle: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """Fingerprint words of UTF-8 bytes: majority of the shingles' hashes in each bit, 0 if no words.
 
     A-Z count as lower case, words end at ASCII white space; fewer words than a shingle are one.
+    The first word is of the hashes themselves, further ones of the hashes mixed anew.
     """
-    words = (data or b"").lower().split()
-    n = len(words)
+    tokens = (data or b"").lower().split()
+    n = len(tokens)
     if not n:
-        return 0
-    joined = b" ".join(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[: n - shingle])]
+        return [0] * words
+    joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)),
-        np.uint64, n - shingle + 1,
-    )
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    if n <= shingle:
+        hashes = np.array([digest(joined, seed)], np.uint64)
+    else:
+        ends = [e - 1 for e in accumulate(len(w) + 1 for w in tokens)]
+        starts = [0, *(e + 1 for e in ends[: n - shingle])]
+        hashes = np.fromiter(
+            (digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)),
+            np.uint64, n - shingle + 1,
+        )
+    ones = np.zeros((words, BITS), np.int64)
+    for at in range(0, len(hashes), 255 * 256):
+        ones += _set_bits(_mixed(hashes[at : at + 255 * 256], words))
+    bits = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little")
+    return bits.view(np.uint64).ravel().tolist()
+
+
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hashes and, per further word, a permutation of them (the SplitMix64 finaliser)."""
+    step = np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes[None, :] + step[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.concatenate([hashes[None, :], x ^ (x >> np.uint64(31))])
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes of each row each bit is set; 255 hashes are added bytewise at once."""
+    words, n = hashes.shape
+    padded = np.zeros((words, -(-n // 255) * 255), np.uint64)
+    padded[:, :n] = hashes
+    runs_ = padded.reshape(words, -1, 255)
+    out = np.empty((words, BITS), np.int64)
+    for b in range(8):
+        lane = ((runs_ >> np.uint64(b)) & np.uint64(0x0101010101010101)).sum(axis=2, dtype=np.uint64)
+        out[:, b::8] = lane.view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "simhash") -> DataFrame:
-    """All columns of ``docs`` but the text, and its fingerprint as a signed 64-bit integer."""
+def word_names(name: str, words: int) -> list[str]:
+    return [name, *(f"{name}_{k}" for k in range(1, words))]
+
+
+def fingerprints(
+    docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "simhash", words: int = 1
+) -> DataFrame:
+    """All columns of ``docs`` but the text, and its fingerprint words as signed 64-bit integers."""
     raw = free_name(docs, "_raw")
-    kept = [c for c in docs.columns if c not in (text, name)]
-    schema = widened(docs.select(*kept), f"`{name}` long")
+    names = word_names(name, words)
+    kept = [c for c in docs.columns if c not in (text, *names)]
+    schema = widened(docs.select(*kept), ", ".join(f"`{c}` long" for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, len(kept), SLICE_BYTES):
                 texts = part.column(len(kept)).to_pylist()
-                found = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
+                found = np.array([simhash(t, shingle, words=words) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(kept))), pa.array(found)],
+                    [*(part.column(i) for i in range(len(kept))), *(pa.array(c) for c in found.T)],
                     names=schema.names,
                 )
 
     return docs.select(*kept, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
-def bit_statistics(prints: DataFrame, name: str) -> tuple[int, np.ndarray]:
-    """How many rows there are, and for each pair of bits in how many both are set."""
+def bit_statistics(prints: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]:
+    """Per word: how many rows there are, and for each pair of bits in how many both are set."""
+    size, words = BITS * BITS, len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS)), 0
+        total, n = np.zeros((words, BITS, BITS)), 0
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(values, axis=1, bitorder="little").astype(np.float32)
-            total += bits.T @ bits
-            n += len(bits)
+            for k in range(words):
+                values = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
+                bits = np.unpackbits(values, axis=1, bitorder="little").astype(np.float32)
+                total[k] += bits.T @ bits
+            n += batch.num_rows
         if n:
             cells = [*total.ravel().astype(np.int64).tolist(), n]
             yield pa.RecordBatch.from_pydict({"cell": list(range(len(cells))), "n": cells})
 
-    cells = prints.select(name).mapInArrow(run, "cell long, n long")
-    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 x 64 + 1 at most
-    found = np.zeros(BITS * BITS + 1)
+    cells = prints.select(*names).mapInArrow(run, "cell long, n long")
+    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 x 64 a word + 1 at most
+    found = np.zeros(words * size + 1)
     for r in rows:
         found[r["cell"]] = r["n"]
-    return int(found[-1]), found[:-1].reshape(BITS, BITS)
+    return [(int(found[-1]), both) for both in found[:-1].reshape(words, BITS, BITS)]
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -130,7 +163,7 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], max_bits: int)
         for b in bits:
             chance = np.convolve(chance, [1 - differ[b], differ[b]])
         row = [0.0]
-        for t in range(max_bits + 1):
+        for t in range(min(max_bits, len(bits)) + 1):  # beyond its bits a part has no probe
             meet = sum(chance[d] * comb(len(bits) - d, t - d) for d in range(min(t, len(bits)) + 1))
             row.append(n * comb(len(bits), t) * PROBE_COST + n * n / 2 * meet)
         table.append(row)
@@ -165,51 +198,68 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def group_forest(values: np.ndarray, bounds: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Spanning forests of the links inside groups: index pairs, fewer than the members."""
-    n = len(values)
-    size = np.diff(bounds)
-    last = np.repeat(bounds[1:], size)
-    label = np.arange(n)
-    firsts, seconds = [], []
-    active = np.flatnonzero(np.arange(n) + 1 < last)
-    lag = 1
-    while len(active):
-        other = active + lag
-        open_ = label[active] != label[other]
-        a, b = active[open_], other[open_]
-        near = np.bitwise_count(values[a] ^ values[b]) <= max_bits
-        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            x, y = label[i], label[j]
-            if x != y:
-                g = np.searchsorted(bounds, i, side="right") - 1
-                mine = label[bounds[g] : bounds[g + 1]]
-                mine[mine == max(x, y)] = min(x, y)
-                firsts.append(i)
-                seconds.append(j)
-        lag += 1
-        active = active[active + lag < last[active]]
-        if lag % 16 == 0 and len(active):  # groups that are one component need no more pairs
-            low = np.minimum.reduceat(label, bounds[:-1])
-            high = np.maximum.reduceat(label, bounds[:-1])
-            active = active[np.repeat(low != high, size)[active]]
-    return [np.array(firsts, np.int64), np.array(seconds, np.int64)]
-
-
-def near_pairs(prints: DataFrame, name: str, max_bits: int) -> DataFrame:
-    """Links (a, b) that join distinct fingerprints as all pairs within ``max_bits`` would."""
-    n, both = bit_statistics(prints, name)
-    masks = probe_masks(n, both, max_bits)
+def group_forest(
+    own: np.ndarray, wide: np.ndarray, bounds: np.ndarray, max_bits: int, total_bits: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of the links inside groups: index pairs, fewer than the members.
+
+    Linked are members whose ``own`` words differ in at most ``max_bits`` and whose ``wide`` rows
+    of words differ in at most ``total_bits``.
+    """
+    firsts: list[np.ndarray] = []
+    seconds: list[np.ndarray] = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        v, w, label = own[lo:hi], wide[lo:hi], np.arange(hi - lo)
+        for at in range(0, hi - lo - 1, ROWS):
+            near = np.bitwise_count(v[at : at + ROWS, None] ^ v[None, at + 1 :]) <= max_bits
+            i, j = np.nonzero(near)
+            i, j = i + at, j + at + 1
+            open_ = (i < j) & (label[i] != label[j])
+            i, j = i[open_], j[open_]
+            if total_bits is not None and len(i):
+                close = np.bitwise_count(w[i] ^ w[j]).sum(axis=1, dtype=np.int64) <= total_bits
+                i, j = i[close], j[close]
+            while len(i):  # one member's links at a time
+                mine = i == i[0]
+                roots, at_root = np.unique(label[j[mine]], return_index=True)
+                firsts.append(np.full(len(roots), lo + i[0]))
+                seconds.append(lo + j[mine][at_root])
+                label[np.isin(label, roots)] = label[i[0]]
+                open_ = label[i] != label[j]
+                i, j = i[open_], j[open_]
+            if (label == label[0]).all():  # one component needs no more pairs
+                break
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(firsts or none), np.concatenate(seconds or none)
+
+
+def near_pairs(
+    prints: DataFrame, name: str, max_bits: int, words: int = 1, total_bits: int | None = None
+) -> DataFrame:
+    """Links (a, b) that join distinct fingerprints as all their pairs would.
+
+    Of one word: all pairs within ``max_bits``; a and b are fingerprints. Of several: all pairs
+    that are within ``max_bits`` on some word and within ``total_bits`` over all; a and b are
+    the ``node`` of their words.
+    """
+    names = word_names(name, words)
+    masks = [
+        (k, mask)
+        for k, (n, both) in enumerate(bit_statistics(prints, names))
+        for mask in probe_masks(n, both, max_bits)
+    ]
+    word_of = np.array([k for k, _ in masks])
     keys = F.array(*(
-        F.struct(F.lit(i).alias("mask"), F.col(name).bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for i, m in enumerate(masks)
+        F.struct(F.lit(i).alias("mask"), F.col(names[k]).bitwiseAND(F.lit(_signed(m))).alias("key"))
+        for i, (k, m) in enumerate(masks)
     ))
-    probes = prints.select(F.inline(keys), F.col(name).alias("value"))
+    values = [f"value_{k}" for k in range(words)]
+    probes = prints.select(F.inline(keys), *(F.col(c).alias(v) for c, v in zip(names, values, strict=True)))
     hot = (
         probes.groupBy("mask", "key").count().where(F.col("count") > BLOCK)
         .withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     )
-    mine = F.pmod(F.xxhash64("value"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(*values), F.col("blocks")).cast("int")
     pairs = F.when(
         F.col("blocks").isNull(), F.array(F.lit(0))
     ).otherwise(
@@ -220,39 +270,51 @@ def near_pairs(prints: DataFrame, name: str, max_bits: int) -> DataFrame:
     )
     dealt = (
         probes.join(hot, ["mask", "key"], "left")
-        .select("mask", "key", F.explode(pairs).alias("pair"), "value")
+        .select("mask", "key", F.explode(pairs).alias("pair"), *values)
     )
+    ends = [f"{end}_{k}" for end in "ab" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, bounds in whole_groups(batches, (0, 1, 2)):
-            values = group.column(3).to_numpy().view(np.uint64)
-            a, b = group_forest(values, bounds, max_bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[a].view(np.int64)), pa.array(values[b].view(np.int64))], names=["a", "b"]
-            )
+            wide = np.stack([group.column(3 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
+            own = wide[np.arange(len(wide)), word_of[group.column(0).to_numpy()]]
+            a, b = group_forest(own, wide, bounds, max_bits, total_bits)
+            both = np.concatenate([wide[a], wide[b]], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in both.T], names=ends)
 
     keyed = dealt.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
-    return keyed.mapInArrow(run, "a long, b long")
+    found = keyed.mapInArrow(run, ", ".join(f"{c} long" for c in ends))
+    return found.select(node(ends[:words]).alias("a"), node(ends[words:]).alias("b"))
+
+
+def node(names: list[str]) -> Column:
+    """One number for a fingerprint: itself, or 64 hashed bits of its words."""
+    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
 
 
 def near_duplicates(
-    docs: DataFrame, max_bits: int = 4, shingle: int = 4, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, max_bits: int = 4, shingle: int = 4, doc_id: str = "doc_id", text: str = "text",
+    words: int = 1, total_bits: int | None = None,
 ) -> DataFrame:
     """(doc_id, simhash, component_id): the smallest id reachable over links of fingerprints.
 
+    One word links by ``max_bits`` alone. Several words find edited copies that one word
+    misses: they link texts near on any word, if all words differ in at most ``total_bits``.
+
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows get one row
     each. A null id never names a component; a component of null ids only is null.
     """
-    prints = materialize(
-        fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle),
-        "prints",
+    names = word_names("simhash", words)
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(ids, shingle=shingle, words=words), "prints")
+    distinct = materialize(
+        prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node(names)), "values"
     )
-    distinct = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "values")
-    edges = near_pairs(distinct, "simhash", max_bits)
-    member = materialize(
-        connected_components(edges).withColumnsRenamed({"node": "simhash", "component": "root"}), "linked"
-    )
-    rooted = distinct.join(member, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    edges = near_pairs(distinct, "simhash", max_bits, words, total_bits)
+    member = materialize(connected_components(edges).withColumnRenamed("component", "root"), "linked")
+    rooted = distinct.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("simhash", "component_id")
-    return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
+    named = rooted.join(least, "root").select("node", "component_id")
+    return (
+        prints.withColumn("node", node(names)).join(named, "node").select("doc_id", "simhash", "component_id")
+    )

@@ -218,6 +218,47 @@ def test_pigeonhole_loses_no_link(spark, max_bits, monkeypatch):
     assert found == want
 
 
+def test_no_part_is_left_without_probes(spark):
+    """A radius above the bits of a part must not count as a threshold that needs no probes."""
+    values = [(1 << 40) - 1, (1 << 48) - 1, ((1 << 40) - 1) ^ (1 << 63)]
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "simhash long")
+    for radius in (1, 8, 9):
+        n, both = simhash.bit_statistics(df, ["simhash"])[0]
+        assert simhash.probe_masks(n, both, radius)
+        links = {frozenset(x & (1 << 64) - 1 for x in r) for r in simhash.near_pairs(df, "simhash", radius).collect()}
+        assert frozenset((values[0], values[2])) in links
+        assert (len(links) == 2) == (radius > 7)
+
+
+def test_words_of_a_fingerprint_link_as_all_pairs(spark):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(900)}" for _ in range(260)]
+    texts = [" ".join(base), " ".join(base), "", None]
+    for k in range(60):  # a chain of edits, from light to another text
+        words = list(base)
+        for at in rng.sample(range(260), 1 + k):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"o{k}w{rng.randrange(900)}" for _ in range(120)) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, simhash_1 int")
+    words = [simhash.simhash(t and t.encode(), 5, words=6) for t in texts]
+    assert [w[0] for w in words] == [brute_simhash(t, 5) for t in texts]
+
+    def near(a, b):
+        bits = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+        return min(bits) <= 7 and sum(bits) <= 70
+
+    label = brute_components(words, near)
+    least = {}
+    for i, c in enumerate(label):
+        least.setdefault(c, i)
+    got = simhash.near_duplicates(docs, 7, 5, words=6, total_bits=70).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[c] for i, c in enumerate(label)}
+    assert all(label[i] == label[0] for i in (1, 4, 5, 6))  # up to three of 260 words differ
+    assert all(label[i] != label[0] for i in range(64, len(texts)))
+    assert simhash.near_duplicates(docs.limit(0), 7, 5, words=6, total_bits=70).count() == 0
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))

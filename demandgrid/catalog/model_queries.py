@@ -26,6 +26,7 @@ from demandgrid.catalog.inputs import (
     stacked_predictions,
 )
 from demandgrid.operators.audit import (
+    POISSON_STEPS,
     bias_sign_flip,
     bootstrap_rmsle,
     error_tree_leaves,
@@ -54,10 +55,10 @@ from demandgrid.plans.runs import load_run_model, save_run_model
 from demandgrid.session import scratch_path
 from demandgrid.settings import FeatureSettings, Roll
 
-SMALL = FeatureSettings(
+HISTORY = FeatureSettings(
     date_features=("month", "dayofweek", "is_weekend", "time_step"),
-    lags={"sales": (1, 7)},
-    rolls=(Roll("sales", (7,), ("mean", "std")),),
+    lags={"sales": (1, 7, 14, 28)},
+    rolls=(Roll("sales", (7, 14, 28), ("mean", "std")),),
     fourier={"dayofweek": (1,)},
     drop_cols=("city", "state", "cluster"),
 )
@@ -67,7 +68,7 @@ FEW_TREES = {"trees": TreeSettings(n_estimators=5, max_depth=3)}
 def trained(spark, folder, kind, transform, options=None):
     train, test = merged(spark, folder)
     return train_panel(
-        train, test, SMALL, kind, transform, holidays(spark, folder), DAYS, options, "series"
+        train, test, HISTORY, kind, transform, holidays(spark, folder), DAYS, options, "series"
     )
 
 
@@ -256,7 +257,7 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = merged(spark, folder)
     settings = BoostedSettings(
-        lags=(7, 14),
+        lags=(7, 14, 28),
         rolling={1: (7,)},
         differences=(1,),
         static=("store_nbr", "family"),
@@ -271,7 +272,7 @@ def _(spark, folder):
     train, test = merged(spark, folder)
     return tidy(
         walk_forward_evaluation(
-            train, test, SMALL, (16, 30), "ridge", "log1p", holidays(spark, folder),
+            train, test, HISTORY, (16, 30, 60, 90), "ridge", "log1p", holidays(spark, folder),
             strategy="series",
         )
     )
@@ -368,15 +369,15 @@ def sle(col: str) -> str:
     return f"pow(ln(1 + actual) - ln(1 + greatest({col}, 0)), 2)"
 
 
+TIMES = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in POISSON_STEPS)
 BOOT = f"""
 ps AS (SELECT store_nbr, family, count(*) AS n, sum({sle('predicted')}) AS sa,
          sum({sle('naive')}) AS sb FROM preds GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (ORDER BY md5(md5(CAST(store_nbr AS VARCHAR) || '-' || family)),
-         store_nbr, family) - 1 AS slot FROM ps),
-dr AS (SELECT b, CAST('0x' || substr(md5(b || '-' || slot || '-42'), 1, 8) AS BIGINT)
-         % (SELECT count(*) FROM ps) AS pick FROM rk, (SELECT unnest(range(0, 500)) AS b)),
-bs AS (SELECT b, sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb FROM dr JOIN rk ON rk.slot = dr.pick
-       GROUP BY 1)"""
+dr AS (SELECT b, n, sa, sb, CAST('0x' || substr(md5(b || '-' ||
+           md5(CAST(store_nbr AS VARCHAR) || '-' || family) || '-42'), 1, 8) AS BIGINT) AS x
+       FROM ps, (SELECT unnest(range(0, 500)) AS b)),
+bs AS (SELECT b, nullif(sum(n * w), 0) AS n, sum(sa * w) AS sa, sum(sb * w) AS sb
+       FROM (SELECT *, {TIMES} AS w FROM dr) GROUP BY 1)"""
 
 
 @query(

@@ -27,7 +27,7 @@ from demandgrid.operators.splits import (
     timeseries_split,
     walk_forward_roles,
 )
-from demandgrid.plans.panel import holidays, long_panel, oil, retail_tables, sales_panel
+from demandgrid.plans.panel import holidays, long_panel, oil, retail_tables, sales_panel, stored_panel
 from demandgrid.sources.tables import holiday_dates
 
 
@@ -120,7 +120,7 @@ def _(spark, folder):
       count(DISTINCT family) AS n_families FROM panel"""),
 )
 def _(spark, folder):
-    return tidy(distinct_counts(sales_panel(spark, folder)))
+    return tidy(distinct_counts(stored_panel(spark, folder)))
 
 
 @query(

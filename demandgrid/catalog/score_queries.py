@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandgrid.catalog.base import (
@@ -50,7 +51,7 @@ from demandgrid.operators.metrics import (
 )
 from demandgrid.operators.prep import display_window
 from demandgrid.operators.splits import filter_validation, timeseries_split
-from demandgrid.plans.panel import retail_tables, sales_panel
+from demandgrid.plans.panel import retail_tables, sales_panel, stored_panel
 
 METRICS = f"""{rnd('sqrt(avg(pow(ln(1 + actual) - ln(1 + greatest(predicted, 0)), 2)))', 'rmsle')},
   {rnd('avg(abs(predicted - actual))', 'mae')},
@@ -143,14 +144,11 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    panel = sales_panel(spark, folder)
-    earlier = panel.select(
-        "store_nbr", "family", F.date_add("date", 7).alias("date"),
-        F.col("sales").alias("predicted"),
-    )
-    preds = panel.join(earlier, ["store_nbr", "family", "date"], "left").select(
+    panel = stored_panel(spark, folder)
+    week_ago = F.lag("sales", 7).over(Window.partitionBy("store_nbr", "family").orderBy("date"))
+    preds = panel.select(
         "date", "store_nbr", "family", F.col("sales").alias("actual"),
-        F.coalesce("predicted", F.lit(0.0)).alias("predicted"), F.lit("train").alias("split"),
+        F.coalesce(week_ago, F.lit(0.0)).alias("predicted"), F.lit("train").alias("split"),
     )
     shown = display_window(preds, panel, DAYS, 60)
     return tidy(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -34,6 +36,7 @@ DISCOVERY = (
     "onpromotion",
     "is_holiday",
 )
+# fixed values: metadata joined to the holdout
 META = ("type", "cluster", "city", "state", "onpromotion", "is_holiday", "dcoilwtico")
 ROW_KEY = ["date", "store_nbr", "family"]
 SERIES = ["store_nbr", "family"]
@@ -64,27 +67,38 @@ def enrich_holdout(val: DataFrame, merged: DataFrame, velocity: DataFrame) -> Da
     )
 
 
-def _draw(n_series: Column, seed: int) -> Column:
-    """Uniform pick in 0..n_series-1 from the digest of (replicate, slot, seed)."""
-    digest = F.md5(F.concat_ws("-", F.col("b"), F.col("slot"), F.lit(seed)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n_series
+def _poisson_steps() -> list[int]:
+    """Distribution function of Poisson(1) at 0, 1, ... in units of 2 ** -32."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 13):
+        total += term
+        out.append(int(total * 2**32))
+        term /= k
+    return out
+
+
+POISSON_STEPS = _poisson_steps()
+
+
+def _uniform(*parts: Column) -> Column:
+    """32 digest bits of the parts as a number."""
+    digest = F.md5(F.concat_ws("-", *parts))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def _resampled(per_series: DataFrame, sums: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Sums per replicate over as many series drawn with replacement as there are.
+    """Sums per replicate in which each series counts a Poisson(1) number of times.
 
-    Every series is one slot of every replicate and draws the series that fills it, so
-    the work is replicates x series small rows, spread by the drawn index.
+    The count is drawn from a digest of (replicate, series, seed), so nothing is joined or
+    ranked: a task adds up its own series and shuffles one row per replicate.
     """
-    ranked = hashed_rank(per_series, series_hash(*SERIES), SERIES, "slot")
-    n_series = per_series.agg(F.count(F.lit(1)).alias("c")).scalar()
-    draws = (
-        ranked.select("slot")
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("pick", _draw(n_series, seed))
+    draws = per_series.withColumn("_key", series_hash(*SERIES)).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     )
-    filled = draws.join(ranked.select(F.col("slot").alias("pick"), *sums), "pick")
-    return filled.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums])
+    x = _uniform(F.col("b"), F.col("_key"), F.lit(seed))
+    times = reduce(lambda a, b: a + b, [(F.col("_x") >= t).cast("int") for t in POISSON_STEPS])
+    weighted = draws.withColumn("_x", x).withColumn("_w", times)
+    return weighted.groupBy("b").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
 
 
 def bootstrap_rmsle(val: DataFrame, n_boot: int = 500, seed: int = 42) -> DataFrame:
@@ -98,7 +112,7 @@ def bootstrap_rmsle(val: DataFrame, n_boot: int = 500, seed: int = 42) -> DataFr
         val.groupBy(*SERIES).agg(F.count(sle).alias("n"), F.sum(sle).alias("sle")), "series"
     )
     scores = _resampled(per_series, ["n", "sle"], n_boot, seed).select(
-        F.sqrt(F.col("sle") / F.col("n")).alias("s")
+        F.sqrt(F.try_divide("sle", "n")).alias("s")  # missing if no series was drawn
     )
     point = per_series.agg(
         F.struct(
@@ -128,7 +142,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, n_boot: int = 500, seed: int =
         .agg(F.count(F.lit(1)).alias("n"), F.sum(sa).alias("sa"), F.sum(sb).alias("sb")),
         "series",
     )
-    delta = F.sqrt(F.col("sa") / F.col("n")) - F.sqrt(F.col("sb") / F.col("n"))
+    delta = F.sqrt(F.try_divide("sa", "n")) - F.sqrt(F.try_divide("sb", "n"))
     deltas = _resampled(per_series, ["n", "sa", "sb"], n_boot, seed).select(delta.alias("d"))
     whole = F.sqrt(F.sum("sa") / F.sum("n")) - F.sqrt(F.sum("sb") / F.sum("n"))
     point = per_series.agg(
@@ -215,7 +229,8 @@ def multiaccuracy_audit(
     """Ridge on the log residual, scored on a random quarter: is structure left?
 
     One row per coefficient, the ten largest by size, with R2 and the row counts. The
-    holdout is exactly the first quarter in the order of a seeded row digest.
+    holdout is exactly the first quarter in the order of a seeded row digest; ranks are
+    written once for the fit and the score.
     """
     spark = val.sparkSession
     schema = "r2 double, n_train bigint, n_val bigint, feature string, coef double"
@@ -225,7 +240,7 @@ def multiaccuracy_audit(
     rows, names = _encoded(val, features)
     key = F.concat_ws("-", *[F.col(c) for c in ROW_KEY], F.lit(seed))
     n_val = max(1, int(n * val_frac))
-    placed = hashed_rank(rows, key, ROW_KEY, "_rank")
+    placed = materialize(hashed_rank(rows, key, ROW_KEY, "_rank"), "placed")
     train, held = placed.filter(F.col("_rank") >= n_val), placed.filter(F.col("_rank") < n_val)
     model = fit_ridge(train, names, "log_resid", alpha)
     y, p = F.col("log_resid"), model.predict(names)

@@ -233,9 +233,9 @@ def value_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """Series, dates, stores and families, from one pre-aggregation of the panel.
+    """Rows, series, dates, stores and families; give a written panel, it is scanned five times.
 
-    Each distinct set is reduced map-side on its own; no row set is expanded.
+    Each distinct set is reduced map-side on its own and reads its own columns only.
     """
     def n(*cols: str) -> Column:
         return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -291,7 +291,11 @@ def delta_vs_best(scores: DataFrame, value: str = "rmsle") -> DataFrame:
 
 
 def model_board(preds: DataFrame) -> DataFrame:
-    """Per model: overall, daily-total and average series RMSLE, and delta to the best."""
+    """Per model: overall, daily-total and average series RMSLE, and delta to the best.
+
+    The predictions are written once for the three ways to group them.
+    """
+    preds = materialize(preds, "board")
     y, p = F.col("actual"), F.col("predicted")
     overall = preds.groupBy("model").agg(rmsle(y, p).alias("rmsle"))
     daily = (

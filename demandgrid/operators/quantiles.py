@@ -3,17 +3,19 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a
 Greenwald-Khanna summary (``percentile_approx``) first brackets each wanted rank;
 a second pass counts the rows between the brackets and lists distinct values only
-inside them, so what is sorted is a fixed small share of the rows.
+inside them, so what is sorted is a fixed small share of the rows. That share grows with
+the rows, so it is sorted by ranges of the value; only range counts come together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.operators.sizing import checked_broadcast
+from demandgrid.session import materialize
 
 ACCURACY = 100_000
 MARGIN = 5.0 / ACCURACY
@@ -40,12 +42,12 @@ def exact_quantiles(
         F.percentile_approx("_v", high, ACCURACY).alias("_hi"),
     ]
     if by:
-        brackets = checked_broadcast(rows.groupBy(*by).agg(*sketch))
-        on = [F.col(f"_b.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in by]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        tagged = rows.alias("_r").join(brackets.alias("_b"), cond).select("_r.*", "_lo", "_hi")
+        brackets = materialize(rows.groupBy(*by).agg(*sketch), "brackets")
+        tagged = (
+            rows.alias("_r")
+            .join(brackets.alias("_b"), _same("_r", "_b", by))
+            .select("_r.*", "_lo", "_hi")
+        )
     else:
         band = rows.agg(*sketch).head()  # a few numbers
         edges = {c: F.array(*[F.lit(v) for v in band[c] or ()]) for c in ("_lo", "_hi")}
@@ -66,12 +68,30 @@ def exact_quantiles(
             F.max("_v").alias("_max"),
         )
     )
-    order = Window.partitionBy(*by).orderBy("_min")
-    total = Window.partitionBy(*by)
+    # written, so that the ranges stay as they are for both readers
+    placed = materialize(
+        cells.repartitionByRange(*by, "_min").withColumn("_part", F.spark_partition_id()), "cells"
+    )
+    # a row per range and group
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*by, "_part")
+        .agg(F.sum("_n").alias("_rows"))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*by)))
+    )
+    inside_part = (
+        Window.partitionBy(*by, "_part")
+        .orderBy("_min")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     ranked = (
-        cells.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        placed.withColumn("_sum", F.sum("_n").over(inside_part))
+        .alias("_c")
+        .join(starts.alias("_s"), _same("_c", "_s", [*by, "_part"]))
+        .select("_c.*", "_start", "_total")
+        .withColumn("_end", F.col("_start") + F.col("_sum"))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(total))
     )
     picks = []
     for i, p in enumerate(probs):
@@ -91,6 +111,12 @@ def exact_quantiles(
     return got.select(*by, *out)
 
 
+def _same(left: str, right: str, cols: Sequence[str]) -> Column:
+    """Equal columns of two aliased frames, missing values included."""
+    hits = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
+    return reduce(lambda a, b: a & b, hits)
+
+
 def _value_at(rank: Column) -> Column:
     """Value of the row with this 0-based rank, where the cell determines it."""
     first = F.col("_begin")

@@ -2,8 +2,8 @@
 
 Two physical strategies give the same columns:
 
-* ``series``: one window per series. All columns share one exchange and one sort. Right
-  whenever a series fits a task, which daily data always does (a row per calendar day).
+* ``series``, the default: one window per series. All columns share one exchange and one sort.
+  Right whenever a series fits a task, which daily data always does (a row per calendar day).
 * ``blocked``: rows are numbered inside their series and cut into blocks that carry a
   halo of the preceding ``lookback`` rows, so no task ever holds a whole series.
 """
@@ -19,7 +19,6 @@ from demandgrid.functions.arrays import median
 from demandgrid.operators.ranks import series_position
 from demandgrid.settings import FeatureSettings
 
-MAX_SERIES_ROWS = 200_000
 BLOCK_ROWS = 8_192
 
 # fixed values: statistic name -> value over a frame of preceding rows
@@ -47,22 +46,14 @@ def history_columns(settings: FeatureSettings, w: WindowSpec) -> dict[str, Colum
     return out
 
 
-def pick_strategy(df: DataFrame, keys: Sequence[str]) -> str:
-    """``blocked`` if any series is longer than a task should hold; one counting job."""
-    longest = df.groupBy(*keys).count().agg(F.max("count").alias("m")).head()["m"] or 0
-    return "series" if longest <= MAX_SERIES_ROWS else "blocked"
-
-
 def lag_roll_features(
     df: DataFrame,
     settings: FeatureSettings,
-    strategy: str = "auto",
+    strategy: str = "series",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``df`` plus every configured lag and rolling column, NULL where there is no history."""
     keys, date = settings.keys, settings.date_col
-    if strategy == "auto":
-        strategy = pick_strategy(df, keys)
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(date)
         return df.withColumns(history_columns(settings, w))
@@ -143,15 +134,13 @@ def forward_fill(
 
 
 def history_features(
-    combined: DataFrame, settings: FeatureSettings, strategy: str = "auto"
+    combined: DataFrame, settings: FeatureSettings, strategy: str = "series"
 ) -> DataFrame:
     """Lags and rolling statistics, rows without history dropped, then gaps filled.
 
     ``combined`` holds train and test rows with an ``is_train`` flag. The order matters:
     rows are dropped before the fill, so no filled value can save them.
     """
-    if strategy == "auto":
-        strategy = pick_strategy(combined, settings.keys)
     names = settings.history_names()
     rows = keep_rows_with_history(lag_roll_features(combined, settings, strategy), names)
     return forward_fill(rows, names, settings.keys, settings.date_col, strategy)

@@ -436,3 +436,27 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, empty, tmp_path):
             out.write.parquet(path)
             now = spark.read.parquet(path)
         assert (now.count() > 0) == (start.count() > 0)
+
+
+def test_vectors_of_a_hot_topic_find_their_partners(spark):
+    rng = np.random.default_rng(3)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    n, dim, pairs = 6000, 64, 300
+    topic = unit(rng.standard_normal(dim))
+    spread = rng.standard_normal((n, dim))
+    spread = unit(spread - (spread @ topic)[:, None] * topic)
+    rest = spread[pairs:].copy()  # a pair at cosine 0.91: 0.55 between what is off the topic
+    aside = rng.standard_normal((pairs, dim))
+    aside -= (aside @ topic)[:, None] * topic
+    aside = unit(aside - (aside * rest[:pairs]).sum(axis=1, keepdims=True) * rest[:pairs])
+    rest[pairs : 2 * pairs] = 0.55 * rest[:pairs] + (1 - 0.55**2) ** 0.5 * aside
+    units = 0.8**0.5 * topic + 0.2**0.5 * rest
+    rows_ = list(enumerate(units.tolist()))
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(df).collect()}
+    i, j = np.nonzero(np.triu(units @ units.T >= 0.9, 1))
+    met = sum(got[a] == got[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert len(i) >= pairs and met >= 0.98 * len(i)

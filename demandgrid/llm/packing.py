@@ -2,10 +2,11 @@
 
 A configuration says how many pieces of each length share a sequence. The program asks for the
 fewest configurations that cover the length histogram. Its size depends on the sequence length
-alone, never on the number of documents. Multiplicative weights solve it: each round prices
-every length by its weight, a knapsack dynamic program finds the dearest configuration, that is
-used for a part of what is open, and the weights of the lengths it holds fall. The fractional
-uses are rounded down to whole sequences, and what rounding leaves over is put best-fit.
+alone, never on the number of documents. Column generation solves it: the simplex method keeps one
+configuration per length, a knapsack dynamic program finds the configuration that is dearest at
+the basis's prices, and it enters, until the duality gap is small. The fractional uses are rounded
+down to whole sequences, and what rounding leaves over is put best-fit. Where the pivots end
+before the gap is met, the plan of greedy exhaustion is taken instead if it has fewer sequences.
 
 Spark does the rest: counting lengths, numbering the pieces of each length across the cluster
 and looking up where the plan puts the piece of that number.
@@ -25,9 +26,11 @@ from demandgrid.llm.bpe import SLICE_BYTES, Encoder, shared_vocabulary
 from demandgrid.llm.common import slices, widened
 from demandgrid.session import materialize
 
-STEP = 1.0  # part of the scarcest length of a configuration that a round uses up
-RATE = 0.02  # how far a fully covered length has fallen in weight, as an exponent
-TILT = 0.3  # how much more a token of the longest length is worth: it has fewer partners
+GAP = 0.0005  # of the fractional uses over the best dual bound
+PIVOTS = 1000  # at most
+AFRESH = 300  # pivots after which the inverse is computed anew
+RATE = 0.02  # of the greedy plan: how far a fully covered length has fallen in price, as an exponent
+TILT = 0.3  # how much more a token of the longest length is worth to the greedy plan: it has fewer partners
 
 
 def token_pieces(
@@ -99,36 +102,84 @@ def _dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarr
     return copies
 
 
-def solve(counts: dict[int, int], capacity: int) -> list[tuple[float, dict[int, int]]]:
-    """Fractional uses of configurations that cover every length once, by multiplicative weights.
+Uses = list[tuple[float, dict[int, int]]]
 
-    Weights start at the length itself, the dual of a histogram that packs without waste. A
-    length that is covered leaves the program; the rest goes on with falling weights.
+
+def solve(counts: dict[int, int], capacity: int) -> tuple[Uses, float, float]:
+    """Fractional uses of configurations that cover every length once, their sum, and the dual bound.
+
+    Column generation, from the basis of the greedy plan: each length has the configuration that
+    used it up. The bound is the value of the basis's prices, scaled down until no configuration
+    is dearer than one sequence.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     need = np.array([counts[v] for v in lengths.tolist()], dtype=float)
+    basis = np.diag((capacity // lengths).astype(float))  # a column is a configuration
+    started = greedy(counts, capacity)
+    last = {v: config for _, config in started for v in config}  # where each length is used up
+    for _, config in started:
+        # of the lengths that leave here one takes the configuration, the others stay by themselves
+        held = np.searchsorted(lengths, list(config))
+        gone = [h for h in held.tolist() if last[int(lengths[h])] is config]
+        if gone:
+            basis[:, gone[0]] = 0.0
+            basis[held, gone[0]] = list(config.values())
+    inverse = np.linalg.inv(basis)
+    amounts, bound = np.maximum(inverse @ need, 0.0), 0.0
+    for turn in range(1, PIVOTS + 1):
+        prices = np.maximum(inverse.sum(axis=0), 0.0)
+        copies = _dearest(lengths, prices, capacity).astype(float)
+        value = float(prices @ copies)
+        bound = max(bound, float(prices @ need) / max(value, 1.0))
+        if value <= 1 + 1e-9 or amounts.sum() <= (1 + GAP) * bound:
+            break
+        column = inverse @ copies
+        rises = np.flatnonzero(column > 1e-9)
+        out = rises[np.argmin(amounts[rises] / column[rises])]
+        basis[:, out] = copies
+        row = inverse[out] / column[out]
+        column[out] -= 1.0
+        inverse -= np.outer(column, row)
+        if turn % AFRESH == 0:
+            inverse = np.linalg.inv(basis)
+        amounts = np.maximum(inverse @ need, 0.0)
+    found = []
+    for amount, column in zip(amounts.tolist(), basis.T.astype(np.int64), strict=True):
+        found.append((amount, {int(lengths[h]): int(column[h]) for h in np.flatnonzero(column)}))
+    return found, float(amounts.sum()), bound
+
+
+def greedy(counts: dict[int, int], capacity: int) -> Uses:
+    """Uses of configurations by exhaustion: each until its scarcest length is used up."""
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    need = np.array([counts[v] for v in lengths.tolist()], dtype=float)
     open_ = need.copy()
-    uses: list[tuple[float, dict[int, int]]] = []
+    uses: Uses = []
     while True:
         live = np.flatnonzero(open_ > 1e-9 * need)
         if not len(live):
             return uses
         prices = lengths[live] * np.exp(-RATE * (1 - open_[live] / need[live]))
-        prices *= 1 + TILT * lengths[live] / capacity
-        copies = _dearest(lengths[live], prices, capacity)
+        copies = _dearest(lengths[live], prices * (1 + TILT * lengths[live] / capacity), capacity)
         held = np.flatnonzero(copies)
-        room = open_[live[held]] / copies[held]
-        part = STEP * np.min(need[live[held]] / copies[held])
-        amount = min(float(room.min()), max(float(part), 1.0))
+        amount = float((open_[live[held]] / copies[held]).min())
         open_[live[held]] -= amount * copies[held]
         uses.append((amount, {int(lengths[live[h]]): int(copies[h]) for h in held}))
 
 
 def whole_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Whole uses of configurations that hold every piece of the histogram exactly once."""
+    fractional, _, bound = solve(counts, capacity)
+    plan = _rounded(counts, fractional, capacity)
+    if sum(n for n, _ in plan) > (1 + GAP) * bound + 1:
+        plan = min(plan, _rounded(counts, greedy(counts, capacity), capacity), key=lambda p: sum(n for n, _ in p))
+    return plan
+
+
+def _rounded(counts: dict[int, int], fractional: Uses, capacity: int) -> list[tuple[int, dict[int, int]]]:
     left = dict(counts)
     merged: dict[tuple[tuple[int, int], ...], float] = {}
-    for amount, config in solve(counts, capacity):
+    for amount, config in fractional:
         key = tuple(sorted(config.items()))
         merged[key] = merged.get(key, 0.0) + amount
     plan: list[tuple[int, dict[int, int]]] = []

@@ -460,3 +460,16 @@ def test_vectors_of_a_hot_topic_find_their_partners(spark):
     i, j = np.nonzero(np.triu(units @ units.T >= 0.9, 1))
     met = sum(got[a] == got[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
     assert len(i) >= pairs and met >= 0.98 * len(i)
+
+
+def test_plan_of_a_perfect_packing_reaches_it():
+    rng = random.Random(1)  # six kinds of triplets that fill a sequence
+    counts = collections.Counter()
+    for _ in range(6):
+        a = rng.randint(60, 500)
+        b = rng.randint(60, 964 - a)
+        for v in (a, b, 1024 - a - b):
+            counts[v] += 3333
+    assert sum(uses for uses, _ in packing.whole_plan(dict(counts), 1024)) == 6 * 3333
+    _, total, bound = packing.solve(dict(counts), 1024)
+    assert bound - 1e-6 <= total <= (1 + packing.GAP) * bound

@@ -58,7 +58,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every document that is left; one row per piece."""
+    """Packs every document that is left; one row per piece, with its tokens."""
     return packing.pack_documents(docs.select("doc_id", "text"), TOKENIZER)
 
 

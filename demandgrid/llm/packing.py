@@ -297,6 +297,27 @@ def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", order:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Pieces of all documents and their places; see ``token_pieces`` and ``pack``."""
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
-    return pack(pieces, capacity)
+    """Pieces of all documents with their ids and places; see ``token_pieces`` and ``pack``.
+
+    The ids of a sequence are those of its pieces by offset.
+    """
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces")
+    return pack(pieces, capacity, order=("doc_id", "piece", "start", "length", "ids_crc32"))
+
+
+def with_digest(packed: DataFrame) -> DataFrame:
+    """The rows with ids_crc32 of the ids they hold (little endian, 32 bits) instead of the ids."""
+    kept = [c for c in packed.columns if c not in ("ids", "ids_crc32")]
+    schema = widened(packed.select(*kept), "ids_crc32 long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(kept))
+            values = ids.flatten().to_numpy().astype("<u4")
+            ends = np.cumsum(ids.value_lengths().to_numpy())
+            found = [zlib.crc32(v.tobytes()) for v in np.split(values, ends[:-1])] if len(ids) else []
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(found, pa.int64())], names=schema.names
+            )
+
+    return packed.select(*kept, "ids").mapInArrow(run, schema)

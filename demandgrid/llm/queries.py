@@ -13,7 +13,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.with_digest(packed).select(*columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -473,3 +473,19 @@ def test_plan_of_a_perfect_packing_reaches_it():
     assert sum(uses for uses, _ in packing.whole_plan(dict(counts), 1024)) == 6 * 3333
     _, total, bound = packing.solve(dict(counts), 1024)
     assert bound - 1e-6 <= total <= (1 + packing.GAP) * bound
+
+
+def test_packed_sequences_hold_the_tokens(spark, docs, rows):
+    library = Tokenizer.from_file(PATH)
+    packed = corpus_pipeline.packing_stage(spark, docs, "unused")
+    got = packed.collect()
+    want = collections.Counter(
+        i for r in rows for i in [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
+    )
+    assert collections.Counter(i for r in got for i in r["ids"]) == want
+    for r in got:
+        assert len(r["ids"]) == r["length"]
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    key = ("doc_id", "piece", "length", "sequence_id", "offset", "ids_crc32")
+    assert sortable(tuple(r[k] for k in key) for r in packing.with_digest(packed).select(*key).collect()) == sortable(
+        tuple(r[k] for k in key) for r in got)

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, language, order_minhash, packing, quality, secrets, simhash, substrings, vectors, warc
+from demandgrid.llm import (
+    bpe, codes, language, order_minhash, packing, quality, secrets, sharding, simhash, substrings, vectors, warc,
+    whitening,
+)
 from demandgrid.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,5 +113,55 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality, op4_substrings, op5_secrets, op6_fingerprints, op7_language, op8_simhash, op9_vectors, op10_bpe)}
-SQL: dict[str, str] = {}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.train_codes(table(spark, sf_dir, "embeddings"))
+    digits = F.lower(F.array_join(F.transform("code", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return codes.label_errors(coded).select(
+        "vec_id", digits.alias("code"), "error", "label_error", F.lit(codes.book_digest(book)).alias("codebooks_sha256")
+    )
+
+
+def _rounds(n: int) -> str:
+    """Assignment and codebook tables of ``n`` rounds and the last assignment a{n}."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, label, p, any_value(v.x) AS x, arg_min(j, (bb - 2 * ab) * 512 + j) AS j,
+      any_value(aa) + min(bb - 2 * ab) AS error FROM (SELECT v.*, b.j, list_inner_product(v.x, v.x) AS aa,
+      list_inner_product(v.x, b.x) AS ab, list_inner_product(b.x, b.x) AS bb FROM v JOIN b{r} b USING (p)) v
+      GROUP BY row, vec_id, label, p)"""
+    book = """b{s} AS MATERIALIZED (SELECT p, j, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+      SELECT p, j, list(y ORDER BY i) AS x FROM (SELECT p, j, i, floor(sum(x[i]) / count(*)) AS y
+      FROM a{r}, (SELECT unnest(range(1, 17)) AS i) GROUP BY p, j, i) GROUP BY p, j) m USING (p, j))"""
+    steps = [t for r in range(n) for t in (nearest.format(r=r), book.format(r=r, s=r + 1))]
+    return ",\n".join([*steps, nearest.format(r=n)])
+
+
+#: vectors of 64 components, ids without repeats among the smallest 256
+OP12_SQL = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label,
+    list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+  v AS MATERIALIZED (SELECT row, vec_id, label, p, x[16 * p + 1 : 16 * p + 16] AS x FROM k, (SELECT unnest(range(4)) AS p)),
+  b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS j, x FROM v QUALIFY j < 256),
+  {_rounds(4)},
+  c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', j), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error
+    FROM a4 GROUP BY vec_id, label),
+  h AS (SELECT sha256(string_agg(CAST(CAST(x[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, j, i)) AS codebooks_sha256
+    FROM b4, (SELECT unnest(range(1, 17)) AS i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, layout = sharding.balanced_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharding.read_layout(spark, layout).select(
+        F.col("row.doc_id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_packing, op3_quality, op4_substrings, op5_secrets, op6_fingerprints, op7_language, op8_simhash,
+    op9_vectors, op10_bpe, op11_whitening, op12_codes, op13_sharding,
+)}
+SQL: dict[str, str] = {"op12_codes": OP12_SQL}

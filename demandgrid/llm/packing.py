@@ -2,19 +2,20 @@
 
 A configuration says how many pieces of each length share a sequence. The program asks for the
 fewest configurations that cover the length histogram. Its size depends on the sequence length
-alone, never on the number of documents. Column generation solves it: the simplex method keeps one
-configuration per length, a knapsack dynamic program finds the configuration that is dearest at
-the basis's prices, and it enters, until the duality gap is small. The fractional uses are rounded
-down to whole sequences, and what rounding leaves over is put best-fit. Where the pivots end
-before the gap is met, the plan of greedy exhaustion is taken instead if it has fewer sequences.
+alone, never on the number of documents. Multiplicative weights solve it: each length has a price
+that falls by a constant factor with every share of it that is covered; each step uses the
+configuration that is dearest at these prices, and the uses are averaged. A knapsack dynamic
+program finds dear configurations and proves the bound; between two of its runs the dearest of those
+found so far is taken. The averaged uses are rounded to whole sequences, and what rounding leaves
+over is put best-fit.
 
 Spark does the rest: counting lengths, numbering the pieces of each length across the cluster
-and looking up where the plan puts the piece of that number.
+and looking up where the plan puts the piece of that number. Token ids take no part in that; they
+are joined to the places at the end.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,169 +27,184 @@ from demandgrid.llm.bpe import SLICE_BYTES, Encoder, shared_vocabulary
 from demandgrid.llm.common import slices, widened
 from demandgrid.session import materialize
 
-GAP = 0.0005  # of the fractional uses over the best dual bound
-PIVOTS = 1000  # at most
-AFRESH = 300  # pivots after which the inverse is computed anew
-RATE = 0.02  # of the greedy plan: how far a fully covered length has fallen in price, as an exponent
-TILT = 0.3  # how much more a token of the longest length is worth to the greedy plan: it has fewer partners
+GAP = 0.0005  # of the sequences over the best dual bound
+#: rounds of steps and their rate: how much a price falls, as an exponent, when its length is covered once
+ROUNDS = ((2000, 0.5), (8000, 0.5), (10000, 0.2), (10000, 0.1))
+EVERY = 50  # steps between two runs of the knapsack program
+LAGGING = 32  # least covered lengths for which it gives a configuration
 
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
-    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+    doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, its ids.
+    """One row per piece: doc_id, piece, start, length and ids, little-endian 32-bit numbers.
 
     A document is its ids and ``end_id``; null or empty texts are the end id alone. Documents
     over ``capacity`` are cut so that every piece but the first is full.
     """
     shared = shared_vocabulary(docs, tokenizer)
     named = docs.select(F.col(doc_id).alias("doc_id"))
-    ids_column = ", ids array<int>" if with_ids else ""
-    schema = widened(named, "piece int, start long, length long, ids_crc32 long" + ids_column)
+    schema = widened(named, "piece int, start long, length long, ids binary")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(shared.value)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                rows, number, start, length, crc, ids = [], [], [], [], [], []
+                rows, number, start, length, ids = [], [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     raw = encoder.ids(t) + end
                     total, at, k = len(raw) // 4, 0, 0
                     while at < total:
                         stop = at + ((total - at) % capacity or capacity)
-                        held = raw[4 * at : 4 * stop]
                         rows.append(i)
                         number.append(k)
                         start.append(at)
                         length.append(stop - at)
-                        crc.append(zlib.crc32(held))
-                        if with_ids:
-                            ids.append(np.frombuffer(held, "<u4").astype(np.int32))
+                        ids.append(raw[4 * at : 4 * stop])
                         at, k = stop, k + 1
                 cols = [
                     part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()),
-                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
                 ]
-                if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 
 
-def _dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the dearest configuration: a knapsack by capacity."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value of each room, and the length taken there (-1: none)."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
-    shortest = int(lengths[0])
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(shortest, capacity + 1):
+    for c in range(int(lengths[0]), capacity + 1):
         value = best[c - lengths[: fits[c]]] + prices[: fits[c]]
         k = int(value.argmax())
         if value[k] > best[c - 1]:
             best[c], taken[c] = value[k], k
         else:
             best[c] = best[c - 1]
-    copies = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c >= shortest:
-        if taken[c] < 0:
-            c -= 1
+    return best, taken
+
+
+def _content(lengths: np.ndarray, taken: np.ndarray, room: int, config: dict[int, int]) -> dict[int, int]:
+    """``config`` and the dearest filling of ``room``."""
+    while room >= lengths[0]:
+        k = int(taken[room])
+        if k < 0:
+            room -= 1
         else:
-            copies[taken[c]] += 1
-            c -= int(lengths[taken[c]])
-    return copies
+            config[k] = config.get(k, 0) + 1
+            room -= int(lengths[k])
+    return config
 
 
 Uses = list[tuple[float, dict[int, int]]]
 
 
-def solve(counts: dict[int, int], capacity: int) -> tuple[Uses, float, float]:
-    """Fractional uses of configurations that cover every length once, their sum, and the dual bound.
-
-    Column generation, from the basis of the greedy plan: each length has the configuration that
-    used it up. The bound is the value of the basis's prices, scaled down until no configuration
-    is dearer than one sequence.
-    """
-    lengths = np.array(sorted(counts), dtype=np.int64)
-    need = np.array([counts[v] for v in lengths.tolist()], dtype=float)
-    basis = np.diag((capacity // lengths).astype(float))  # a column is a configuration
-    started = greedy(counts, capacity)
-    last = {v: config for _, config in started for v in config}  # where each length is used up
-    for _, config in started:
-        # of the lengths that leave here one takes the configuration, the others stay by themselves
-        held = np.searchsorted(lengths, list(config))
-        gone = [h for h in held.tolist() if last[int(lengths[h])] is config]
-        if gone:
-            basis[:, gone[0]] = 0.0
-            basis[held, gone[0]] = list(config.values())
-    inverse = np.linalg.inv(basis)
-    amounts, bound = np.maximum(inverse @ need, 0.0), 0.0
-    for turn in range(1, PIVOTS + 1):
-        prices = np.maximum(inverse.sum(axis=0), 0.0)
-        copies = _dearest(lengths, prices, capacity).astype(float)
-        value = float(prices @ copies)
-        bound = max(bound, float(prices @ need) / max(value, 1.0))
-        if value <= 1 + 1e-9 or amounts.sum() <= (1 + GAP) * bound:
+class _Program:
+    """The covering program of a histogram with the configurations found so far."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.lengths = np.array(sorted(counts), dtype=np.int64)
+        self.need = np.array([counts[v] for v in self.lengths.tolist()], dtype=float)
+        self.bound = 0.0
+        self.keys: dict[tuple[tuple[int, int], ...], int] = {}
+        self.held = np.zeros((0, 1), np.int64)  # lengths of each configuration, by place
+        self.copies = np.zeros((0, 1))  # and how many of them; 0 fills up
+        self.whole = np.zeros(0)  # uses that cover the scarcest length of a configuration once
+        self.logs = np.zeros(len(self.lengths))
+
+    def prices(self) -> np.ndarray:
+        return self.lengths / self.capacity * np.exp(self.logs)
+
+    def price_out(self) -> None:
+        """Adds the dearest configuration and the dearest with each lagging length; raises the bound."""
+        self.logs -= self.logs.max()
+        prices = self.prices()
+        best, taken = _knapsack(self.lengths, prices, self.capacity)
+        self.bound = max(self.bound, float(prices @ self.need) / best[self.capacity])
+        behind = np.argsort(-self.logs, kind="stable")[: LAGGING if self.keys else None]
+        found = [_content(self.lengths, taken, self.capacity, {})]
+        found += [_content(self.lengths, taken, self.capacity - int(self.lengths[i]), {i: 1}) for i in behind.tolist()]
+        fresh = []
+        for config in found:
+            key = tuple(sorted(config.items()))
+            if key not in self.keys:
+                self.keys[key] = len(self.keys)
+                fresh.append(key)
+        if not fresh:
+            return
+        width = max(self.held.shape[1], *map(len, fresh))
+        more = ((0, len(fresh)), (0, width - self.held.shape[1]))
+        at = len(self.whole)
+        self.held, self.copies = np.pad(self.held, more), np.pad(self.copies, more)
+        for r, key in enumerate(fresh, at):
+            self.held[r, : len(key)] = [k for k, _ in key]
+            self.copies[r, : len(key)] = [n for _, n in key]
+        scarce = [min(self.need[k] / n for k, n in key) for key in fresh]
+        self.whole = np.append(self.whole, scarce)
+
+    def run(self, steps: int, rate: float) -> tuple[float, Uses]:
+        """Average uses of ``steps`` steps that cover every length, and their sum."""
+        self.logs = np.maximum(self.logs - self.logs.max(), -1.0)  # early errors are forgotten
+        uses, covered = np.zeros(len(self.whole)), np.zeros(len(self.need))
+        best: tuple[float, np.ndarray] = (np.inf, uses)
+        for step in range(steps + 1):
+            if step % EVERY == 0:
+                self.price_out()
+                uses = np.append(uses, np.zeros(len(self.whole) - len(uses)))
+                least = covered.min()
+                if least > 0 and uses.sum() / least < best[0]:
+                    best = (uses.sum() / least, uses / least)
+                    if best[0] <= (1 + GAP) * self.bound:
+                        break
+            prices = self.prices()
+            j = int((prices[self.held] * self.copies).sum(axis=1).argmax())
+            at = self.held[j][self.copies[j] > 0]
+            share = self.copies[j][self.copies[j] > 0] * self.whole[j] / self.need[at]
+            uses[j] += self.whole[j]
+            covered[at] += share
+            self.logs[at] -= rate * share
+        names = list(self.keys)
+        used = [(float(best[1][j]), names[j]) for j in np.flatnonzero(best[1]).tolist()]
+        return best[0], [(a, {int(self.lengths[k]): n for k, n in key}) for a, key in used]
+
+
+def whole_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """Whole uses of configurations that hold every piece of the histogram exactly once, and the
+    dual bound: no plan has fewer sequences."""
+    program = _Program(counts, capacity)
+    plan: list[tuple[int, dict[int, int]]] = []
+    for steps, rate in ROUNDS:
+        _, uses = program.run(steps, rate)
+        for carried in (False, True):
+            made = _rounded(counts, uses, capacity, carried)
+            if not plan or sequences(made) < sequences(plan):
+                plan = made
+        if sequences(plan) <= (1 + GAP) * program.bound + 1:
             break
-        column = inverse @ copies
-        rises = np.flatnonzero(column > 1e-9)
-        out = rises[np.argmin(amounts[rises] / column[rises])]
-        basis[:, out] = copies
-        row = inverse[out] / column[out]
-        column[out] -= 1.0
-        inverse -= np.outer(column, row)
-        if turn % AFRESH == 0:
-            inverse = np.linalg.inv(basis)
-        amounts = np.maximum(inverse @ need, 0.0)
-    found = []
-    for amount, column in zip(amounts.tolist(), basis.T.astype(np.int64), strict=True):
-        found.append((amount, {int(lengths[h]): int(column[h]) for h in np.flatnonzero(column)}))
-    return found, float(amounts.sum()), bound
-
-
-def greedy(counts: dict[int, int], capacity: int) -> Uses:
-    """Uses of configurations by exhaustion: each until its scarcest length is used up."""
-    lengths = np.array(sorted(counts), dtype=np.int64)
-    need = np.array([counts[v] for v in lengths.tolist()], dtype=float)
-    open_ = need.copy()
-    uses: Uses = []
-    while True:
-        live = np.flatnonzero(open_ > 1e-9 * need)
-        if not len(live):
-            return uses
-        prices = lengths[live] * np.exp(-RATE * (1 - open_[live] / need[live]))
-        copies = _dearest(lengths[live], prices * (1 + TILT * lengths[live] / capacity), capacity)
-        held = np.flatnonzero(copies)
-        amount = float((open_[live[held]] / copies[held]).min())
-        open_[live[held]] -= amount * copies[held]
-        uses.append((amount, {int(lengths[live[h]]): int(copies[h]) for h in held}))
-
-
-def whole_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Whole uses of configurations that hold every piece of the histogram exactly once."""
-    fractional, _, bound = solve(counts, capacity)
-    plan = _rounded(counts, fractional, capacity)
-    if sum(n for n, _ in plan) > (1 + GAP) * bound + 1:
-        plan = min(plan, _rounded(counts, greedy(counts, capacity), capacity), key=lambda p: sum(n for n, _ in p))
-    return plan
+    return plan, program.bound
+
+
+def sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
+    return sum(uses for uses, _ in plan)
 
 
-def _rounded(counts: dict[int, int], fractional: Uses, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    left = dict(counts)
-    merged: dict[tuple[tuple[int, int], ...], float] = {}
-    for amount, config in fractional:
-        key = tuple(sorted(config.items()))
-        merged[key] = merged.get(key, 0.0) + amount
+def _rounded(counts: dict[int, int], uses: Uses, capacity: int, carried: bool) -> list[tuple[int, dict[int, int]]]:
+    """Whole sequences, the fullest configurations first; ``carried``: parts of a use are added up."""
+    left, carry = dict(counts), 0.0
     plan: list[tuple[int, dict[int, int]]] = []
-    for key, amount in sorted(merged.items(), key=lambda x: -x[1]):
-        uses = min(int(amount + 1e-6), *(left[v] // k for v, k in key))
-        if uses:
-            plan.append((uses, dict(key)))
-            for v, k in key:
-                left[v] -= k * uses
+    for amount, config in sorted(uses, key=lambda u: (-sum(v * n for v, n in u[1].items()), -u[0])):
+        carry = amount + (min(carry, 1.0) if carried else 0.0)
+        n = min(int(carry + 1e-6), *(left[v] // k for v, k in config.items()))
+        if n:
+            plan.append((n, config))
+            carry -= n
+            for v, k in config.items():
+                left[v] -= k * n
     plan.extend(_best_fit({v: n for v, n in left.items() if n}, capacity))
     return plan
 
@@ -256,7 +272,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", order:
     counts = {int(r["_length"]): int(r["n"]) for r in found}
     if any(not 1 <= v <= capacity for v in counts):
         raise ValueError(f"lengths must be 1 to {capacity}")
-    table = slots(whole_plan(counts, capacity)) if counts else {}
+    table = slots(whole_plan(counts, capacity)[0]) if counts else {}
 
     before = Window.partitionBy("_length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     firsts = tally.select(
@@ -299,25 +315,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", order:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with their ids and places; see ``token_pieces`` and ``pack``.
 
-    The ids of a sequence are those of its pieces by offset.
+    The ids of a sequence are those of its pieces by offset. Rows are numbered and placed without
+    their ids, which join by the number of the written piece.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces")
-    return pack(pieces, capacity, order=("doc_id", "piece", "start", "length", "ids_crc32"))
-
-
-def with_digest(packed: DataFrame) -> DataFrame:
-    """The rows with ids_crc32 of the ids they hold (little endian, 32 bits) instead of the ids."""
-    kept = [c for c in packed.columns if c not in ("ids", "ids_crc32")]
-    schema = widened(packed.select(*kept), "ids_crc32 long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(len(kept))
-            values = ids.flatten().to_numpy().astype("<u4")
-            ends = np.cumsum(ids.value_lengths().to_numpy())
-            found = [zlib.crc32(v.tobytes()) for v in np.split(values, ends[:-1])] if len(ids) else []
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.int64())], names=schema.names
-            )
-
-    return packed.select(*kept, "ids").mapInArrow(run, schema)
+    made = token_pieces(docs, tokenizer, capacity, end_id).withColumn("_piece", F.monotonically_increasing_id())
+    pieces = materialize(made, "pieces")
+    placed = pack(pieces.drop("ids"), capacity, order=("_piece",))
+    return placed.join(pieces.select("_piece", "ids"), "_piece").drop("_piece")

@@ -17,8 +17,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
-    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    return packing.with_digest(packed).select(*columns)
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ CACHE_BYTES = 48 << 20
 SLICE_BYTES = 4 << 20
 
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Unicode white space, in runs that are too long for the pre-tokeniser's look-ahead
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _GEAR = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64)
 
 
@@ -94,7 +96,16 @@ class Encoder:
 
     def span(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text that starts and ends at a safe cut, or is whole."""
-        return np.array(self.vocabulary.core.encode_ordinary(text), dtype="<u4").tobytes()
+        core = self.vocabulary.core
+        found, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            # one word without its last character, which belongs to what follows, if anything does
+            end = run.end() - (run.end() < len(text))
+            found += core.encode_ordinary(text[at : run.start()])
+            found += core._encode_single_piece(text[run.start() : end])
+            at = end
+        found += core.encode_ordinary(text[at:])
+        return np.array(found, dtype="<u4").tobytes()
 
     def plain(self, text: str, encode) -> bytes:
         """Ids of a whole text, its special tokens apart."""

@@ -35,8 +35,10 @@ from demandgrid.operators.audit import (
     paired_bootstrap,
     residual_clusters,
 )
+from demandgrid.operators.encode import Ordinal
+from demandgrid.operators.ensembles import fit_log_trees, predict_flat
 from demandgrid.operators.metrics import daily_aggregate, slice_scores
-from demandgrid.operators.models import TreeSettings, fit_panel_model
+from demandgrid.operators.models import TreeSettings, fit_panel_model, tree_columns
 from demandgrid.operators.prep import to_long
 from demandgrid.plans.boosted import BoostedSettings, boosted_forecast
 from demandgrid.operators.recursive import recursive_forecast
@@ -62,7 +64,6 @@ HISTORY = FeatureSettings(
     fourier={"dayofweek": (1,)},
     drop_cols=("city", "state", "cluster"),
 )
-FEW_TREES = {"trees": TreeSettings(n_estimators=5, max_depth=3)}
 
 
 def trained(spark, folder, kind, transform, options=None):
@@ -72,6 +73,17 @@ def trained(spark, folder, kind, transform, options=None):
     )
 
 
+_TREES = {}  # (application, folder) -> run
+
+
+def trained_trees(spark, folder):
+    """The full-size tree run; its model and written features serve every query of a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TREES:
+        _TREES[key] = trained(spark, folder, "trees", "raw")
+    return _TREES[key]
+
+
 # ridge with two features in closed form: yesterday's log sales and the promotion count
 TWO = """
 rx AS (SELECT store_nbr, family, date, ln(1 + sales) AS y, onpromotion AS x2,
@@ -243,26 +255,58 @@ def _(spark, folder):
 
 @query("gbt_fit_predict")
 def _(spark, folder):
-    out = direct_predictions(trained(spark, folder, "trees", "raw", FEW_TREES))
+    out = direct_predictions(trained_trees(spark, folder))
     return tidy(out.filter("split <> 'train'"), 4)
 
 
 @query("gbt_recursive")
 def _(spark, folder):
-    out = recursive_predictions(trained(spark, folder, "trees", "raw", FEW_TREES))
+    out = recursive_predictions(trained_trees(spark, folder))
     return tidy(out.filter("split <> 'train'"), 4)
 
 
+NEWTON = """
+gn AS (SELECT (SELECT ln(avg(sales)) FROM merged WHERE date < (SELECT c FROM cut)) AS s),
+gh AS (SELECT type, s, sum(exp(0.9 * s) - sales * exp(-0.1 * s)) AS g,
+         sum(0.9 * exp(0.9 * s) + 0.1 * sales * exp(-0.1 * s)) AS h
+       FROM merged, gn WHERE date < (SELECT c FROM cut) GROUP BY 1, 2)"""
+
+
+@query(
+    "boosted_log_group_steps",
+    sql(
+        f"""SELECT type, rounds, {rnd('p', 'log_score', 6)} FROM (
+        SELECT type, 1 AS rounds, s - 0.5 * g / h AS p FROM gh UNION ALL
+        SELECT type, 30 AS rounds, ln(m) AS p FROM gm)""",
+        SIGNALS,
+        GROUP_MEANS,
+        NEWTON,
+    ),
+)
+def _(spark, folder):
+    """One Tweedie round is a Newton step per group; many rounds end at the groups' means."""
+    train, _ = merged(spark, folder)
+    encoder = Ordinal.fit(train, ["type"])
+    coded = tree_columns(train, encoder)
+    types = tree_columns(train.select("type").distinct(), encoder)
+    parts = []
+    for rounds in (1, 30):
+        stumps = TreeSettings(rounds, 0.5, max_depth=1, subsample=1.0, colsample=1.0)
+        trees = fit_log_trees(coded, ["_x_type"], "sales", stumps, 1.1)
+        scored = predict_flat(types, trees, ["_x_type"], "p")
+        parts.append(scored.select("type", F.lit(rounds).alias("rounds"), F.log("p").alias("log_score")))
+    return tidy(parts[0].unionByName(parts[1]), 6)
+
+
 @query("boosted_panel")
 def _(spark, folder):
     train, test = merged(spark, folder)
     settings = BoostedSettings(
         lags=(7, 14, 28),
         rolling={1: (7,)},
-        differences=(1,),
         static=("store_nbr", "family"),
         exogenous=("onpromotion", "is_holiday"),
-        trees=TreeSettings(n_estimators=5, max_depth=3),
+        objective="tweedie",
     )
     return tidy(boosted_forecast(to_long(train), to_long(test), settings), 4)
 

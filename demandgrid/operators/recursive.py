@@ -3,7 +3,7 @@
 Both variants bring a series to one row: the last ``lookback`` target values as an array
 and the horizon's known columns as an array of structs. Their size is fixed by the
 feature settings and the horizon, whatever the number of rows. From there on nothing is
-shuffled: the linear recursion is one fold, the tree recursion one map step per day.
+shuffled: the linear recursion is one fold, the tree recursion one map.
 """
 
 from __future__ import annotations
@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.arrays import STATS, back, known_tail, let
 from demandgrid.functions.errors import decode_target
+from demandgrid.operators.ensembles import Term, flat_trees, lag_term, roll_forward, window_term
 from demandgrid.operators.models import FittedPanelModel, Linear
-from demandgrid.session import materialize
 from demandgrid.settings import FeatureSettings
 
 
-# a plan this many steps deep is still quick to analyse; longer horizons write in between
-CUT_EVERY = 16
-
-
 def history_terms(settings: FeatureSettings, col: str) -> dict[str, object]:
     """Feature name -> function of the value array, for lags and rolling columns of ``col``."""
     out = {}
@@ -125,53 +121,38 @@ def recursive_linear(
     )
 
 
+def row_terms(settings: FeatureSettings, col: str) -> dict[str, Term]:
+    """``history_terms`` for matrices of values, a row per series."""
+    out: dict[str, Term] = {f"{col}_lag_{k}": lag_term(k) for k in settings.lags.get(col, ())}
+    for roll in settings.rolls:
+        if roll.col == col:
+            out |= {f"{col}_roll_{w}_{agg}": window_term(w, agg) for w in roll.windows for agg in roll.aggs}
+    return out
+
+
 def recursive_trees(
     model: FittedPanelModel,
     history: DataFrame,
     horizon: DataFrame,
     settings: FeatureSettings,
     target: str,
-    steps: int,
-    cut_every: int = CUT_EVERY,
 ) -> DataFrame:
-    """The same recursion for a tree model, with ``steps`` map-only model calls.
-
-    The value array is the state and travels with the row, so a step is a projection and
-    a JVM prediction: no window, shuffle or driver round trip per day. Every ``cut_every``
-    steps the state, a row per series, is written to keep the plan short.
-    """
+    """The same recursion for a tree model: the ensemble travels with one map over the series."""
     keys, date = settings.keys, settings.date_col
-    terms = history_terms(settings, target)
     codes = model.encoder.columns()
-    own = {n: e for n, e in codes.items() if n not in terms and n not in keys}
-    state = _paths(history, horizon, settings, target, own)
-    of_series = {n: e for n, e in codes.items() if n in keys}
-    state = state.withColumn("_vals", F.col("_tail"))
-    # the day is found by how many values were added, so every step has the same columns
-    day = F.get("_days", F.size("_vals") - F.size("_tail"))
-    inputs = {f"_x_{n}": e for n, e in of_series.items()}
-    inputs |= {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in own}
-    inputs |= {
-        f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0)) for n, t in terms.items() if n in codes
-    }
-    grown = F.concat("_vals", F.array("_prediction")).alias("_vals")
-    for i in range(steps):
-        scored = model.trees.transform(state.withColumns(inputs))
-        state = scored.select(*keys, "_days", "_tail", grown)
-        if (i + 1) % cut_every == 0 and i + 1 < steps:
-            state = materialize(state, "steps")
-    return state.withColumn("_at", F.explode(_by_day("_vals"))).select(
-        *keys,
-        F.col("_at.day.d").alias(date),
-        decode_target(F.col("_at.p"), model.transform).alias("predicted"),
+    terms = {n: t for n, t in row_terms(settings, target).items() if n in codes}
+    own = [n for n in codes if n not in terms and n not in keys]
+    of_series = [n for n in codes if n in keys]
+    known = {"x": F.array(*[codes[n].cast("double") for n in own]) if own else F.array().cast("array<double>")}
+    fixed = F.array(*[codes[n].cast("double") for n in of_series]) if of_series else F.array().cast("array<double>")
+    paths = _paths(history, horizon, settings, target, known).withColumn("_series", fixed)
+    trees = flat_trees(history.sparkSession, model.trees)
+    out = roll_forward(paths, keys, trees, list(codes), of_series, own, terms, settings.lookback())
+    return out.select(
+        *keys, F.col("d").alias(date), decode_target(F.col("p"), model.transform).alias("predicted")
     )
 
 
-def horizon_steps(horizon: DataFrame, date: str) -> int:
-    """Number of distinct horizon dates; a small count, read on the driver."""
-    return horizon.select(date).distinct().count()
-
-
 def recursive_forecast(
     model: FittedPanelModel,
     history: DataFrame,
@@ -181,5 +162,4 @@ def recursive_forecast(
 ) -> DataFrame:
     if model.linear is not None:
         return recursive_linear(model, history, horizon, settings, target)
-    steps = horizon_steps(horizon, settings.date_col)
-    return recursive_trees(model, history, horizon, settings, target, steps)
+    return recursive_trees(model, history, horizon, settings, target)

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.functions.arrays import back, mean
+from demandgrid.functions.arrays import back
 from demandgrid.functions.calendar import calendar_columns
 from demandgrid.functions.errors import clamp
 from demandgrid.operators.encode import Ordinal
+from demandgrid.operators.ensembles import Term, fit_log_trees, flat_trees, lag_term, roll_forward, window_term
 from demandgrid.operators.models import TreeSettings, fit_trees, tree_columns
-from demandgrid.operators.recursive import CUT_EVERY, series_tails
+from demandgrid.operators.recursive import series_tails
 from demandgrid.session import materialize
 
 # fixed values: other names of calendar parts in run files
@@ -22,7 +23,11 @@ ALIASES = {"day": "dayofmonth", "week": "weekofyear"}
 
 @dataclass(frozen=True)
 class BoostedSettings:
-    """``rolling`` maps a lag to window sizes: the mean of that many values ending there."""
+    """``rolling`` maps a lag to window sizes: the mean of that many values ending there.
+
+    ``objective`` is ``tweedie`` (log link, ``power``) or ``squared``. Differences may be negative, which
+    a log link can not predict: there the Tweedie objective sees them as zero.
+    """
 
     lags: tuple[int, ...] = (7, 14, 28)
     rolling: dict[int, tuple[int, ...]] = field(default_factory=dict)
@@ -31,6 +36,8 @@ class BoostedSettings:
     static: tuple[str, ...] = ()
     exogenous: tuple[str, ...] = ()
     trees: TreeSettings = field(default_factory=TreeSettings)
+    objective: str = "squared"
+    power: float = 1.1
 
     def reach(self) -> int:
         spans = [lag + w - 1 for lag, ws in self.rolling.items() for w in ws]
@@ -58,16 +65,11 @@ def _window_terms(s: BoostedSettings, by: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def _array_terms(s: BoostedSettings) -> dict[str, object]:
-    out = {f"lag{k}": lambda a, k=k: back(a, k) for k in s.lags}
+def _row_terms(s: BoostedSettings) -> dict[str, Term]:
+    out = {f"lag{k}": lag_term(k) for k in s.lags}
     for lag, sizes in s.rolling.items():
         for size in sizes:
-            def term(a: Column, lag=lag, size=size) -> Column:
-                start = F.size(a) - (lag + size - 1) + 1
-                part = F.slice(a, F.greatest(start, F.lit(1)), F.lit(size))
-                return F.when(start >= 1, mean(part))
-
-            out[f"rolling_mean_lag{lag}_window{size}"] = term
+            out[f"rolling_mean_lag{lag}_window{size}"] = window_term(size, "mean", lag, full=True)
     return out
 
 
@@ -91,11 +93,13 @@ def boosted_forecast(
     """Fit on all series, forecast the rows of ``future``: ``unique_id, ds, forecast``.
 
     ``future`` carries the exogenous columns for the days after the history. Training is
-    one window pass and one fit; each forecast day is one map step on a row per series.
+    one window pass and one fit; the forecast is one map over a row per series.
     """
     s = settings
+    if s.objective not in ("squared", "tweedie"):
+        raise ValueError(f"unknown objective {s.objective!r}")
     by = ["unique_id"]
-    terms = _array_terms(s)
+    terms = _row_terms(s)
     names = [*terms, *_dates(s.date_features), *s.static, *s.exogenous]
     rows = (
         _difference(history, by, s.differences)
@@ -106,20 +110,19 @@ def boosted_forecast(
         rows = rows.filter(F.col(n).isNotNull())
     encoder = Ordinal.fit(rows, names)
     coded = tree_columns(rows, encoder)
-    model = fit_trees(coded, [f"_x_{n}" for n in encoder.names], "_z", s.trees)
+    inputs = [f"_x_{n}" for n in encoder.names]
+    if s.objective == "tweedie":
+        trees = fit_log_trees(coded, inputs, "_z", s.trees, s.power)
+    else:
+        trees = flat_trees(history.sparkSession, fit_trees(coded, inputs, "_z", s.trees))
 
     codes = encoder.columns()
-    known = {n: e for n, e in codes.items() if n not in terms}
+    known = [n for n in codes if n not in terms]
+    cells = F.array(*[codes[n].cast("double") for n in known]) if known else F.array().cast("array<double>")
     days = (
         future.withColumns(_dates(s.date_features))
         .groupBy(*by)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(F.col("ds").alias("d"), *[e.alias(n) for n, e in known.items()])
-                )
-            ).alias("_days")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("ds").alias("d"), cells.alias("x")))).alias("_days"))
     )
     levels = _difference(history.select(*by, "ds", "y"), by, s.differences)
     state = days.join(series_tails(levels, by, "ds", "_z", s.reach()), by, "left")
@@ -130,24 +133,15 @@ def boosted_forecast(
     # a series without history starts from nothing, its horizon rows stay
     nothing = F.array().cast("array<double>")
     state = state.withColumns({c: F.coalesce(c, nothing) for c in ["_tail", *ends]})
-    state = state.withColumn("_vals", F.col("_tail"))
-    steps = future.select("ds").distinct().count()
-    # the day is found by how many values were added, so every step has the same columns
-    day = F.get("_days", F.size("_vals") - F.size("_tail"))
-    inputs = {f"_x_{n}": F.coalesce(day[n], F.lit(0.0)) for n in known}
-    inputs |= {f"_x_{n}": F.coalesce(t(F.col("_vals")), F.lit(0.0)) for n, t in terms.items()}
-    longer = F.concat("_vals", F.array("_prediction")).alias("_vals")
-    for i in range(steps):
-        state = model.transform(state.withColumns(inputs)).select(*by, "_days", "_tail", *ends, longer)
-        if (i + 1) % CUT_EVERY == 0 and i + 1 < steps:
-            state = materialize(state, "steps")
-    path = F.slice("_vals", F.size("_tail") + 1, F.greatest(F.size("_days"), F.lit(1)))
+    paths = materialize(state.withColumn("_series", nothing), "paths")
+    rolled = roll_forward(paths, by, trees, list(codes), [], known, terms, s.reach())
+    if not s.differences:
+        return rolled.select(*by, F.col("d").alias("ds"), clamp(F.col("p")).alias("forecast"))
+    rolled = rolled.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("d", "p"))).alias("_at"))
+    state = rolled.join(paths.select(*by, *ends), by)
+    path = F.col("_at.p")
     for i, d in reversed(list(enumerate(s.differences))):
         grown = F.aggregate(path, F.col(f"_end{i}"), _undo(d))
-        path = F.slice(
-            grown, F.size(f"_end{i}") + 1, F.greatest(F.size("_days"), F.lit(1))
-        )
-    cells = F.arrays_zip(F.col("_days").alias("day"), path.alias("p"))
-    return state.withColumn("_at", F.explode(cells)).select(
-        *by, F.col("_at.day.d").alias("ds"), clamp(F.col("_at.p")).alias("forecast")
-    )
+        path = F.slice(grown, F.size(f"_end{i}") + 1, F.greatest(F.size("_at"), F.lit(1)))
+    state = state.withColumn("_cell", F.explode(F.arrays_zip(F.col("_at.d").alias("d"), path.alias("p"))))
+    return state.select(*by, F.col("_cell.d").alias("ds"), clamp(F.col("_cell.p")).alias("forecast"))

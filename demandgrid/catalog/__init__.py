@@ -7,6 +7,7 @@ from demandgrid.catalog import (  # noqa: F401
     panel_queries,
     run_queries,
     score_queries,
+    wide_queries,
 )
 from demandgrid.catalog.base import CATALOG
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from demandgrid.session import materialize, scratch_path
 
 STRIP = 2048  # rows scored together
-CUT_ROUNDS = 12  # boosting rounds between two written states
+CUT_ROUNDS = 4  # boosting rounds between two written states
 
 
 @dataclass

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, slices, widened
+from demandgrid.llm.common import free_name, released, slices, widened
 
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -238,7 +238,7 @@ def encode(
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(released(run), schema)
 
 
 def decode(
@@ -263,4 +263,4 @@ def decode(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*kept, decoded]
             )
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(released(run), schema)

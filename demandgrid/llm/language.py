@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, slices, widened
+from demandgrid.llm.common import free_name, released, slices, widened
 
 SAMPLE_TEXTS = 120  # labelled texts a language's dictionary is made of, at most
 DICTIONARY_BYTES = 96 << 10
@@ -137,4 +137,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                     names=schema.names,
                 )
 
-    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(released(run), schema)

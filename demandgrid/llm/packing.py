@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.llm.bpe import SLICE_BYTES, Encoder, shared_vocabulary
-from demandgrid.llm.common import slices, widened
+from demandgrid.llm.common import released, slices, widened
 from demandgrid.session import materialize
 
 GAP = 0.0005  # of the sequences over the best dual bound
@@ -70,7 +70,7 @@ def token_pieces(
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(released(run), schema)
 
 
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +309,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", order:
                 [*kept, pa.array(sequence), pa.array(offset)], names=schema.names
             )
 
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, slices, widened
+from demandgrid.llm.common import free_name, released, slices, widened
 
 # The base patterns, the order of kinds and the least lengths.
 ASSIGN = re.compile(
@@ -113,7 +113,7 @@ def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_pydict({"cell": at, "n": total.ravel()[at]})
 
-    rows = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = docs.select(text).mapInArrow(released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(2 * cells)
     for r in rows.collect():  # letters x letters x 2 at most
         out[r["cell"]] = r["n"]
@@ -195,7 +195,7 @@ def find_secrets(docs: DataFrame, counts: np.ndarray, text: str = "text", masked
                     cols.append(pa.array(clean, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(raw)).mapInArrow(released(run), schema)
 
 
 def mask(text: str, spans: list[Span]) -> str:

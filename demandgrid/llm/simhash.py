@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, slices, whole_groups, widened
+from demandgrid.llm.common import free_name, released, slices, whole_groups, widened
 from demandgrid.llm.components import connected_components
 from demandgrid.session import materialize
 
@@ -105,7 +105,7 @@ def fingerprints(
                     names=schema.names,
                 )
 
-    return docs.select(*kept, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).cast("binary").alias(raw)).mapInArrow(released(run), schema)
 
 
 def bit_statistics(prints: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]:
@@ -124,7 +124,7 @@ def bit_statistics(prints: DataFrame, names: list[str]) -> list[tuple[int, np.nd
             cells = [*total.ravel().astype(np.int64).tolist(), n]
             yield pa.RecordBatch.from_pydict({"cell": list(range(len(cells))), "n": cells})
 
-    cells = prints.select(*names).mapInArrow(run, "cell long, n long")
+    cells = prints.select(*names).mapInArrow(released(run), "cell long, n long")
     rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 x 64 a word + 1 at most
     found = np.zeros(words * size + 1)
     for r in rows:
@@ -283,7 +283,7 @@ def near_pairs(
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in both.T], names=ends)
 
     keyed = dealt.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
-    found = keyed.mapInArrow(run, ", ".join(f"{c} long" for c in ends))
+    found = keyed.mapInArrow(released(run), ", ".join(f"{c} long" for c in ends))
     return found.select(node(ends[:words]).alias("a"), node(ends[words:]).alias("b"))
 
 

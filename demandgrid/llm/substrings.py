@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import free_name, runs, slices, widened
+from demandgrid.llm.common import free_name, released, runs, slices, widened
 
 WINDOW = 35
 # A perfect difference cover and its period.
@@ -245,11 +245,11 @@ def mark_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
                 yield _blocks(h, g, keys[doc], at - first[doc], buckets)
 
     data = F.col(text).cast("binary").alias("data")
-    near = _repeats(docs.select(key, data).mapInArrow(anchors, BLOCK_COLUMNS), buckets)
+    near = _repeats(docs.select(key, data).mapInArrow(released(anchors), BLOCK_COLUMNS), buckets)
     near = near.select(F.col("key").alias("_near"), F.col("pos").alias("_places"))
     extended = docs.join(near, F.col(key) == F.col("_near"))
     # all columns, though two are used: only an equal exchange is reused
-    found = extended.select(*docs.columns, "_places").mapInArrow(windows, BLOCK_COLUMNS)
+    found = extended.select(*docs.columns, "_places").mapInArrow(released(windows), BLOCK_COLUMNS)
     return _repeats(found, buckets).withColumnsRenamed({"key": key, "pos": "starts"})
 
 
@@ -295,4 +295,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     names=schema.names,
                 )
 
-    return joined.select(*kept, raw, starts).mapInArrow(cut, schema)
+    return joined.select(*kept, raw, starts).mapInArrow(released(cut), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.llm.bpe import SLICE_BYTES, Encoder, shared_vocabulary
 from demandgrid.llm.common import released, slices, widened
-from demandgrid.session import materialize
+from demandgrid.session import scratch_path
 
 GAP = 0.0005  # of the sequences over the best dual bound
 #: rounds of steps and their rate: how much a price falls, as an exponent, when its length is covered once
@@ -319,6 +319,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     their ids, which join by the number of the written piece.
     """
     made = token_pieces(docs, tokenizer, capacity, end_id).withColumn("_piece", F.monotonically_increasing_id())
-    pieces = materialize(made, "pieces")
+    path = scratch_path(docs.sparkSession, "pieces")
+    made.write.option("compression", "zstd").parquet(path)  # the ids are most of what the job writes
+    pieces = docs.sparkSession.read.schema(made.schema).parquet(path)
     placed = pack(pieces.drop("ids"), capacity, order=("_piece",))
     return placed.join(pieces.select("_piece", "ids"), "_piece").drop("_piece")

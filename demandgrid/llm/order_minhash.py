@@ -1,9 +1,10 @@
 """Document fingerprints by Order MinHash, in column expressions only.
 
-The k-mers are pairs of neighbouring words. A hash deals them into ``BINS`` bins; in each bin the
-two least occurrence-numbered k-mers are selected (by hash, then occurrence), put back into the
-order of the text, and the pair is hashed. Both must survive an edit, and in the same order, for
-the bin to agree, so likeness falls with the edit distance and with moved text.
+The k-mers are pairs of neighbouring words, numbered by occurrence: the third time a pair appears it
+is another element than the first. A joint hash of pair and number deals the elements into ``BINS``
+bins; in each bin the two least are selected, put back into the order of the text, and the tuple is
+hashed. Both must survive an edit, and in the same order, for the bin to agree, so likeness falls
+with the edit distance, with moved text and with a changed number of repeats.
 """
 
 from __future__ import annotations
@@ -26,24 +27,43 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<int>, one entry (bin, 16 bits of the pair's hash) for each bin that has a k-mer.
+    """array<int>, one entry (bin, 16 bits of the tuple's hash) for each bin that has an element.
 
     Words end at ASCII white space. The last word pairs with nothing, so one word is a k-mer
     too. Null, empty and blank texts have an empty fingerprint.
     """
-    low = F.lit((1 << _PLACE) - 1).cast("long")
 
-    def packed(words: Column) -> Column:
-        # 33 bits of the k-mer's hash above its position: equal k-mers sort by occurrence
-        return F.transform(
-            words,
-            lambda w, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(w, F.get(words, i + 1)), 31), _PLACE) + i,
+    def packed(digest: Column, place: Column) -> Column:  # 33 bits of the hash above the position
+        return F.shiftleft(F.shiftrightunsigned(digest, 31), _PLACE) + place
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << _PLACE) - 1).cast("long"))
+
+    def above(x: Column) -> Column:
+        return F.shiftright(x, _PLACE)
+
+    def numbered(kmers: Column) -> Column:
+        """Elements of the sorted k-mers: a run of equal ones is numbered from 0 in text order."""
+        new = F.transform(
+            kmers, lambda x, i: F.when(above(F.get(kmers, i - 1)).eqNullSafe(above(x)), F.lit(-1)).otherwise(i)
         )
 
-    def leading(kmers: Column) -> Column:  # the first two of each bin: theirs is not the bin two back
+        def elements(starts: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(kmers))
+                return F.transform(
+                    F.slice(kmers, start + 1, end - start),
+                    lambda x, n: packed(F.xxhash64(above(x), n), place(x)),
+                )
+
+            return F.sort_array(F.flatten(F.transform(starts, run)))
+
+        return _let(F.filter(new, lambda i: i >= 0), elements)
+
+    def leading(found: Column) -> Column:  # the first two of each bin: theirs is not the bin two back
         return F.filter(
-            kmers,
-            lambda x, i: ~F.shiftright(F.get(kmers, i - 2), _BIN).eqNullSafe(F.shiftright(x, _BIN)),
+            found,
+            lambda x, i: ~F.shiftright(F.get(found, i - 2), _BIN).eqNullSafe(F.shiftright(x, _BIN)),
         )
 
     def entries(chosen: Column) -> Column:
@@ -51,29 +71,24 @@ def fingerprint(text: Column) -> Column:
             bin_ = F.shiftright(x, _BIN)
             first = ~F.shiftright(F.get(chosen, i - 1), _BIN).eqNullSafe(bin_)
 
-            def pair(other: Column) -> Column:
-                a, b = F.shiftrightunsigned(x, _PLACE), F.shiftrightunsigned(other, _PLACE)
-                repeat = (a == b).cast("int")  # the second occurrence of one k-mer
-                swapped = other.bitwiseAND(low) < x.bitwiseAND(low)
+            def tuple_hash(other: Column) -> Column:
+                a, b = above(x), above(other)
                 return (
                     F.when(other.isNull() | (F.shiftright(other, _BIN) != bin_), F.xxhash64(a))
-                    .when(swapped, F.xxhash64(b, repeat, a)).otherwise(F.xxhash64(a, repeat, b))
+                    .when(place(other) < place(x), F.xxhash64(b, a)).otherwise(F.xxhash64(a, b))
                 )
 
-            digest = _let(F.get(chosen, i + 1), pair).bitwiseAND(F.lit(0xFFFF).cast("long"))
+            digest = _let(F.get(chosen, i + 1), tuple_hash).bitwiseAND(F.lit(0xFFFF).cast("long"))
             return F.when(first, (bin_ * 65536 + digest).cast("int")).otherwise(F.lit(-1))
 
         return F.filter(F.transform(chosen, entry), lambda e: e >= 0)
 
-    words = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""),
-                    r"[ \t\n\x0B\f\r]+")
-    made = _let(
-        words,
-        lambda w: F.when((F.size(w) == 1) & (w[0] == ""), F.array().cast("array<int>")).otherwise(
-            _let(F.sort_array(packed(w)), lambda k: _let(leading(k), entries))
-        ),
-    )
-    return made
+    # cutting at the runs and leaving out the empty ends is linear; trimming by a pattern is not
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    kmers = _let(words, lambda w: F.sort_array(
+        F.transform(w, lambda x, i: packed(F.xxhash64(x, F.get(w, i + 1)), i))
+    ))
+    return _let(_let(_let(kmers, numbered), leading), entries)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -372,6 +372,55 @@ def test_sum_of_squares_is_all_pairs():
     assert machine.margins(slots, values, np.array([0]))[0][0] == pytest.approx(want)
 
 
+def order_minhash_entries(text):
+    """Second implementation: occurrence-numbered pairs, the two least per bin, text order, tuple hash."""
+    def digest(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+
+    def number(x, size=8):
+        return x.to_bytes(size, "little")
+
+    words = re.findall(r"[^ \t\n\x0B\f\r]+", text or "")
+    seen, elements = {}, []
+    for i, w in enumerate(words):
+        pair = digest(*(x.encode() for x in words[i : i + 2])) >> 31
+        n = seen[pair] = seen.get(pair, -1) + 1
+        elements.append((digest(number(pair), number(n, 4)) >> 31, i))
+    out = []
+    for bin_ in range(order_minhash.BINS):
+        least = sorted(e for e in elements if e[0] >> 27 == bin_)[:2]
+        if least:
+            ordered = [h for h, _ in sorted(least, key=lambda e: e[1])]
+            out.append(bin_ * 65536 + (digest(*map(number, ordered)) & 0xFFFF))
+    return out
+
+
+def test_fingerprints_equal_a_second_implementation(spark):
+    rng = random.Random(6)
+    few = [" ".join(rng.choices("ab cd ef".split(), k=n)) for n in (1, 2, 3, 40, 700)]
+    many = [" ".join(rng.choices([f"w{i}é" for i in range(400)], k=n)) for n in (5, 90, 2000)]
+    odd = [None, "", " \t\n ", "one", "  lead and trail \r\n", "x " * 5000, "a\u00a0b c", "a" + " " * 200_000 + "b", *few]
+    rows = [(i, t) for i, t in enumerate(odd + many)]
+    got = order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r["fingerprint"] == order_minhash_entries(r["text"]), r["doc_id"]
+
+
+def test_order_and_repeats_show_in_repetitive_texts(spark):
+    rng = random.Random(7)
+    lines = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=12)) for _ in range(30)]
+    page = lines * 4
+    pairs = [("same", page, page), ("mixed", page, rng.sample(page, len(page))), ("once", page, lines)]
+    df = spark.createDataFrame([(n, " ".join(a), " ".join(b)) for n, a, b in pairs], "name string, a string, b string")
+    like = {r[0]: r[1] for r in df.select("name", order_minhash.likeness(
+        order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b")))).collect()}
+    assert like["same"] == 1.0
+    assert like["mixed"] < 0.8 and like["once"] < 0.5
+
+
 def test_fingerprints_and_next_documents(spark, docs, empty):
     got = order_minhash.fingerprints(docs).select("text", "fingerprint").collect()
     by_text = collections.defaultdict(set)

@@ -3,7 +3,7 @@
 Each language has a raw-content zstandard dictionary of sample text. A text is cut into blocks,
 every block is compressed with each dictionary, and the language with the fewest bytes in all
 wins. Unless its lead over the second is clear, the text is compressed again at a higher level;
-a lead that stays narrow is a rejection.
+a lead that stays narrow is a rejection, whatever the length.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ DICTIONARY_BYTES = 96 << 10
 BLOCK = 4096
 LEVEL, THOROUGH = 3, 12  # compression levels of the first and the second look
 CLEAR = 0.1  # lead that needs no second look
-SHORT = 512  # bytes up to which a lead of a few bytes says too little to reject
 NARROW = 0.01
+STRETCHES = 16  # of a text that is longer than its share of a dictionary
 SLICE_BYTES = 4 << 20
 
 _LETTERS = bytes(
@@ -41,19 +41,27 @@ def learn(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
     """Dictionary content per language from at most ``SAMPLE_TEXTS`` rows of it where ``use`` holds.
 
     The rows are those with the smallest digest of id and text. Rows without text or language
-    teach nothing. Each row gives ``DICTIONARY_BYTES`` characters at most, so what reaches the
-    driver is bounded for each language. Languages come in the order of how usual they are.
+    teach nothing. A text over an eighth of ``DICTIONARY_BYTES`` gives ``STRETCHES`` pieces spread
+    evenly over all of it, so what reaches the driver is bounded for each language. Languages come
+    in the order of how usual they are.
     """
+    share = DICTIONARY_BYTES // 8
+    piece, size = share // STRETCHES, F.length(text)
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(STRETCHES - 1)),
+        lambda k: F.substring(F.col(text), (k * (size - piece) / (STRETCHES - 1)).cast("int") + 1, F.lit(piece)),
+    )
+    sampled = F.when(size <= share, F.col(text)).otherwise(F.array_join(spread, " "))
     digest = F.xxhash64(F.col(doc_id), F.col(text))
     rows = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), digest.alias("digest"), F.substring(text, 1, DICTIONARY_BYTES).alias("text")
+        F.col(lang).alias("lang"), digest.alias("digest"), sampled.alias("text")
     )
     first = Window.partitionBy("lang").orderBy("digest")
     picked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS)
     usual = docs.where(use & F.col(lang).isNotNull()).groupBy(lang).count().collect()  # a row a language
     made: dict[str, list[bytes]] = {r[0]: [] for r in sorted(usual, key=lambda r: (-r[1], r[0]))}
     for row in picked.orderBy("lang", "digest").toLocalIterator():
-        made[row["lang"]].append(letters_of(row["text"])[: DICTIONARY_BYTES // 8])
+        made[row["lang"]].append(letters_of(row["text"]))
     return {
         k: content
         for k, texts in made.items()
@@ -90,7 +98,7 @@ class Classifier:
         best, lead = self._lead(blocks, self.quick)
         if lead < CLEAR:
             best, lead = self._lead(blocks, self.thorough)
-        return self.langs[best], lead, lead < NARROW and len(letters) > SHORT
+        return self.langs[best], lead, lead < NARROW
 
     def _lead(self, blocks: list[bytes], coders: list) -> tuple[int, float]:
         """The language with the fewest bytes, and how far the second is behind."""
@@ -113,9 +121,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """All columns of ``docs`` and lang_pred, lang_score, lang_rejected.
 
     The score is the winner's lead over the second in parts of the second's bytes. Rejected are
-    texts over ``SHORT`` bytes whose lead is under ``NARROW``, and texts without any letter
-    (``und``; null and empty ones too). Short texts are not rejected for their lead: a byte more
-    or less says too little. Equal sizes fall to the more usual language. Without
+    texts whose lead is under ``NARROW`` (a tie in a short one), and texts without any letter
+    (``und``; null and empty ones too). Equal sizes fall to the more usual language. Without
     dictionaries all is ``und`` and nothing is rejected. Columns of the new names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")

@@ -2,8 +2,9 @@
 
 One model has the letter transitions of random strings, the other those of ordinary
 identifiers. Samples of the first are values that the patterns label as secrets, and drawn
-strings; samples of the second are the other long tokens of the corpus. A token whose
-log-likelihood ratio is high enough is a secret without any pattern around it.
+strings; samples of the second are the other long tokens of the corpus, and drawn words. A token
+whose log-likelihood ratio is high enough is a secret without any pattern around it; length and
+letters decide through the ratio alone.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-TOKEN_LEAST = 20  # letters of a token that the models judge
 RATIO_LEAST, RATIO_EACH = 12.0, 0.35  # log-likelihood ratio of a secret, in all and per letter
 DRAWN = 4000
 # Words that drawn ordinary identifiers are made of.
@@ -71,29 +71,50 @@ def _transitions(token: str) -> np.ndarray:
     return codes[:-1] * size + codes[1:]
 
 
-def _free(text: str, base: list[Span]) -> Iterator[re.Match]:
-    """Long tokens that no base span touches."""
+def _tokens(text: str, base: list[Span]) -> Iterator[tuple[re.Match, list[tuple[int, int]]]]:
+    """Long tokens that base spans do not cover whole, each with its stretches outside of them."""
     at = 0
-    spans = sorted((s, e) for s, _, e in base)
+    covers: list[list[int]] = []
+    for start, _, end in base:
+        if covers and start <= covers[-1][1]:
+            covers[-1][1] = max(covers[-1][1], end)
+        else:
+            covers.append([start, end])
     for m in TOKEN.finditer(text):
-        while at < len(spans) and spans[at][1] <= m.start():
+        while at < len(covers) and covers[at][1] <= m.start():
             at += 1
-        if not any(s < m.end() and m.start() < e for s, e in spans[at:]):
-            yield m
-
-
-def _judged(token: str) -> bool:
-    """Long enough, with letters and digits both."""
-    return len(token) >= TOKEN_LEAST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+        free, left, k = [], m.start(), at
+        while k < len(covers) and covers[k][0] < m.end():
+            if covers[k][0] > left:
+                free.append((left, covers[k][0]))
+            left = covers[k][1]
+            k += 1
+        if left < m.end():
+            free.append((left, m.end()))
+        if free:
+            yield m, free
+
+
+def _random(token: re.Match, free: list[tuple[int, int]], table: np.ndarray) -> bool:
+    """Whether the whole token and, for each letter, what no base span covers of it look random."""
+    whole = table[_transitions(token.group())]
+    if whole.sum() < RATIO_LEAST:
+        return False
+    first = token.start()
+    # a stretch counts with the transitions into its letters; the token's first letter has none
+    got = sum(float(whole[max(s - first - 1, 0) : e - first - 1].sum()) for s, e in free)
+    return got >= RATIO_EACH * sum(e - s for s, e in free)
 
 
 def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Transitions of labelled tokens in all texts: [ordinary, random] x letters x letters.
 
     Random: what the base patterns catch. Ordinary: long tokens that they do not touch and that
-    the models would not judge, so a hidden secret never teaches the ordinary model.
+    models of the drawn samples alone do not call random, so that hidden secrets hardly teach the
+    ordinary model.
     """
     cells = (len(ALPHABET) + 1) ** 2
+    first = ratios(np.zeros((2, cells)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, cells), np.int64)
@@ -107,8 +128,8 @@ def sample_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                     if kind == 0:
                         value = ASSIGN.match(value).group(2)
                     np.add.at(total[1], _transitions(value), 1)
-                for m in _free(t, base):
-                    if not _judged(m.group()):
+                for m, free in _tokens(t, base):
+                    if free == [m.span()] and not _random(m, free, first):
                         np.add.at(total[0], _transitions(m.group()), 1)
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_pydict({"cell": at, "n": total.ravel()[at]})
@@ -135,10 +156,12 @@ def ratios(counts: np.ndarray) -> np.ndarray:
             np.add.at(drawn[1], _transitions("".join(rng.choice(list(letters), 32))), 1)
     for _ in range(DRAWN):
         words = [str(w) for w in rng.choice(WORDS, rng.integers(2, 5))]
-        style = rng.integers(4)
+        style = rng.integers(5)
         if style == 0:
             words = [w.capitalize() for w in words]
-        token = ("" if style == 0 else "_-/"[style - 1]).join(words)
+        elif style == 4:
+            words = [w.upper() for w in words]
+        token = ("", "_", "-", "/", "_")[style].join(words)
         if rng.random() < 0.3:
             token += str(rng.integers(0, 3000))
         np.add.at(drawn[0], _transitions(token), 1)
@@ -154,23 +177,16 @@ def ratios(counts: np.ndarray) -> np.ndarray:
 
 
 def markov_spans(text: str, base: list[Span], table: np.ndarray) -> list[Span]:
-    out = []
-    for m in _free(text, base):
-        token = m.group()
-        if not _judged(token):
-            continue
-        ratio = float(table[_transitions(token)].sum())
-        if ratio >= RATIO_LEAST and ratio >= RATIO_EACH * len(token):
-            out.append((m.start(), 3, m.end()))
-    return out
+    """Random tokens, each as a whole: one that a base span covers in part overlaps with it."""
+    return [(m.start(), 3, m.end()) for m, free in _tokens(text, base) if _random(m, free, table)]
 
 
 def find_secrets(docs: DataFrame, counts: np.ndarray, text: str = "text", masked: str | None = None) -> DataFrame:
     """All columns of ``docs`` and secrets, array<struct<kind, start, end>>, by start, then kind.
 
     Positions are code points, ends exclusive. A null or empty text has none. Spans of different
-    base kinds may overlap; the models only add spans that touch no base span. With ``masked``
-    a further column has the text with each covered stretch replaced by its first kind in
+    kinds may overlap; the models add no token that base spans cover whole. With ``masked`` a
+    further column has the text with each covered stretch replaced by its first kind in
     brackets (null stays null). Columns of the new names are replaced. Rows stay in place.
     """
     docs = docs.drop("secrets", *([masked] if masked else []))

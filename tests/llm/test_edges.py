@@ -326,6 +326,40 @@ def test_secret_spans_by_plain_search(docs, empty):
     assert secrets.find_secrets(empty, secrets.sample_counts(empty)).count() == 0
 
 
+def test_random_strings_are_found_and_identifiers_are_not(spark):
+    """Recall of drawn strings of each alphabet and length, false finds on words of other spellings."""
+    rng = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    counts = secrets.sample_counts(make(spark, [(i, prose(i, 60), *[None] * 6) for i in range(40)]))
+    table = secrets.ratios(counts)
+
+    def found(text):
+        return secrets.markov_spans(text, secrets.base_spans(text), table)
+
+    for alphabet in (lower + upper + digits, lower + upper, lower + upper + digits + "+/"):
+        for size in (16, 19, 40):
+            drawn = ["".join(rng.choices(alphabet, k=size)) for _ in range(100)]
+            assert sum(found(f"x {t} y") == [(2, 3, 2 + size)] for t in drawn) >= 98
+    names = [style(rng.choices(secrets.WORDS, k=4)) for _ in range(100) for style in (
+        "_".join, lambda w: "_".join(w).upper(), lambda w: "".join(map(str.capitalize, w)), "/".join, "-".join,
+    )]
+    assert sum(bool(found(f"x {t} y")) for t in names) <= 5
+    assert not any(found(t) for t in ("=" * 40, "-" * 40, "internationalization", "2024-01-01T00-00-00"))
+
+
+def test_tokens_that_a_pattern_covers_in_part(spark):
+    table = secrets.ratios(np.zeros((2, (len(secrets.ALPHABET) + 1) ** 2)))
+    for text, want in (
+        ("xK9Z0123456789abcdef0123Zq7pLtW", [(0, 3, 31)]),  # the rest is random too
+        ("/path/0123456789abcdef0123/document", []),  # the rest is words
+        ("0123456789abcdef0123", []),  # nothing is left
+        ("password=0123456789abcdef0123", []),
+    ):
+        base = secrets.base_spans(text)
+        assert base and secrets.markov_spans(text, base, table) == want
+        assert "0123" not in secrets.mask(text, sorted([*base, *want]))
+
+
 def test_language_on_unseen_texts(spark, empty):
     letters = {"aa": "lomi tuka sena rivo", "bb": "strand grund pfeil schatz"}
     rows = [
@@ -340,6 +374,13 @@ def test_language_on_unseen_texts(spark, empty):
     assert all(got[i]["lang_pred"] == ["aa", "bb"][i % 2] and not got[i]["lang_rejected"] for i in range(120))
     assert all(got[i]["lang_pred"] == "und" and got[i]["lang_rejected"] for i in (900, 901, 902))
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    # the end of a long text teaches too, and a text that tells nothing is rejected at any length
+    late = make(spark, [(i, "q " * 9000 + prose(i, 400, letters[["aa", "bb"][i % 2]].split()), ["aa", "bb"][i % 2], *[None] * 5)
+                        for i in range(40)])
+    spread = language.learn(late, ~held_out())
+    assert b"lomi" in spread["aa"] and b"strand" in spread["bb"] and max(map(len, spread.values())) <= language.DICTIONARY_BYTES
+    unknown = language.identify(make(spark, [(1, "x", *[None] * 6), (2, "zyx " * 400, *[None] * 6)]), model)
+    assert all(r["lang_rejected"] and r["lang_score"] < language.NARROW for r in unknown.collect())
     none = language.identify(df, language.learn(empty, ~held_out())).select("lang_pred", "lang_rejected").distinct()
     assert [tuple(r) for r in none.collect()] == [("und", False)]
     assert language.identify(empty, model).count() == 0

@@ -128,19 +128,19 @@ tg AS (SELECT unnest(range(1, 20)) * 0.05 AS a),
 tr AS (SELECT uid, a, t, z AS l, CAST(0 AS DOUBLE) AS sse FROM tz, tg WHERE t = 1
   UNION ALL SELECT r.uid, r.a, z.t, r.l + r.a * (z.z - r.l), r.sse + (z.z - r.l) * (z.z - r.l)
     FROM tr r JOIN tz z ON z.uid = r.uid AND z.t = r.t + 1),
-te AS (SELECT uid, arg_min(a, sse) AS a, arg_min(l, sse) AS l FROM tr
-       WHERE t = (SELECT max(n) FROM ts) GROUP BY 1)"""
+te AS (SELECT uid, arg_min(a, sse) AS a, arg_min(l, sse) AS l FROM tr JOIN ts USING (uid)
+       WHERE tr.t = ts.n GROUP BY 1),
+theta AS (SELECT uid, ds, step, CASE WHEN low > 0 THEN (l + d) * idx ELSE l + d + idx END AS forecast
+        FROM (SELECT h.uid, h.ds, h.step, e.l, x.idx, tt.low, s.slope / 2 *
+            ((h.step - 1) + 1 / e.a - pow(1 - e.a, s.n) / e.a) AS d
+          FROM ah h JOIN te e USING (uid) JOIN ts s USING (uid) JOIN tt USING (uid)
+          JOIN tx x ON x.uid = h.uid AND x.pos = (s.n + h.step - 1) % 7))"""
 
 
 @query(
     "theta_forecast",
     sql(
-        f"""SELECT a.uid AS unique_id, {day('a.ds', 'ds')},
-        {rnd('''CASE WHEN low > 0 THEN (l + d) * idx ELSE l + d + idx END''', 'forecast', 3)}
-        FROM (SELECT h.uid, h.ds, e.l, x.idx, tt.low, s.slope / 2 *
-            ((h.step - 1) + 1 / e.a - pow(1 - e.a, s.n) / e.a) AS d
-          FROM ah h JOIN te e USING (uid) JOIN ts s USING (uid) JOIN tt USING (uid)
-          JOIN tx x ON x.uid = h.uid AND x.pos = (s.n + h.step - 1) % 7) a""",
+        f"SELECT uid AS unique_id, {day('ds')}, {rnd('forecast', 'forecast', 3)} FROM theta",
         AHEAD,
         THETA_SQL,
         recursive=True,
@@ -193,82 +193,110 @@ def _(spark, folder):
     return tidy(ets(long_panel(spark, folder), DAYS), 3)
 
 
-CV_SQL = """
+def per_cutoff(part: str) -> str:
+    """A forecast's SQL over the history up to each cutoff (``cvp``) and the days after it (``cva``)."""
+    return part.replace("FROM panel", "FROM cvp").replace("FROM ah", "FROM cva")
+
+
+NAIVE_CV_SQL = """
 cc AS (SELECT (SELECT hi FROM rng) - CAST(16 + 8 * i AS INTEGER) AS cutoff
        FROM (SELECT unnest(range(0, 3)) AS i)),
-cv AS (SELECT p.uid, p.date, c.cutoff, p.sales AS y, n.sales AS naive, s.sales AS snaive
+nv AS MATERIALIZED (SELECT p.uid, p.date, c.cutoff, p.sales AS y, n.sales AS naive, s.sales AS snaive
        FROM cc c JOIN panel p ON p.date > c.cutoff AND p.date <= c.cutoff + 16
        JOIN panel n ON n.uid = p.uid AND n.date = c.cutoff
        JOIN panel s ON s.uid = p.uid AND s.date = c.cutoff - 6
          + CAST((date_diff('day', c.cutoff, p.date) - 1) % 7 AS INTEGER))"""
+CV_SQL = f"""{NAIVE_CV_SQL},
+cw AS (SELECT cutoff FROM cc UNION ALL SELECT hi FROM rng),
+cvp AS MATERIALIZED (SELECT concat(p.uid, '@', c.cutoff) AS uid, p.date, p.sales
+       FROM panel p JOIN cw c ON p.date <= c.cutoff),
+cva AS (SELECT concat(uid, '@', cutoff) AS uid, step, cutoff + CAST(step AS INTEGER) AS ds
+       FROM (SELECT DISTINCT uid FROM panel), cw, (SELECT unnest(range(1, 17)) AS step)),
+{per_cutoff(THETA_SQL)},{per_cutoff(ETS_SQL)},
+ets AS (SELECT a.uid, a.ds, f.l + f.s * a.step + f.c[(a.step - 1) % 7 + 1] AS forecast FROM cva a JOIN eb USING (uid)),
+cv AS MATERIALIZED (SELECT nv.*, t.forecast AS theta, e.forecast AS ets FROM nv
+       JOIN theta t ON t.uid = concat(nv.uid, '@', nv.cutoff) AND t.ds = nv.date
+       JOIN ets e ON e.uid = t.uid AND e.ds = t.ds)"""
+# fixed values: candidates of the cross-validation and their columns in the SQL
+CANDIDATES = {"Naive": "naive", "SeasonalNaive": "snaive", "Theta": "theta", "AutoETS": "ets"}
+
+
+def cv_rmsle(col: str) -> str:
+    return f"sqrt(avg(pow(ln(1 + y) - ln(1 + greatest({col}, 0)), 2)))"
+
+
+BOARD_SQL = "board AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, {cv_rmsle(c)} AS rmsle FROM cv" for m, c in CANDIDATES.items()
+) + ")"
 
 
 def _cv(spark, folder):
     long = long_panel(spark, folder, stored=True)
-    return cross_validate(long, DAYS, ["Naive", "SeasonalNaive"], n_windows=3, step=8)
+    return cross_validate(long, DAYS, list(CANDIDATES), n_windows=3, step=8)
 
 
 @query(
     "rolling_origin_cv",
     sql(
         f"""SELECT uid AS unique_id, {day('date', 'ds')}, {day('cutoff')}, y, naive AS "Naive",
-        snaive AS "SeasonalNaive" FROM cv""",
+        snaive AS "SeasonalNaive", {rnd('theta', '"Theta"', 3)}, {rnd('ets', '"AutoETS"', 3)} FROM cv""",
         CV_SQL,
+        recursive=True,
     ),
 )
 def _(spark, folder):
-    return tidy(_cv(spark, folder))
-
-
-def cv_rmsle(col: str) -> str:
-    return f"sqrt(avg(pow(ln(1 + y) - ln(1 + {col}), 2)))"
+    return tidy(_cv(spark, folder), Theta=3, AutoETS=3)
 
 
 @query(
     "score_models",
-    sql(
-        f"""SELECT 'Naive' AS model, {rnd(cv_rmsle('naive'), 'rmsle')} FROM cv UNION ALL
-        SELECT 'SeasonalNaive', {rnd(cv_rmsle('snaive'), 'rmsle')} FROM cv""",
-        CV_SQL,
-    ),
+    sql(f"SELECT model, {rnd('rmsle', 'rmsle')} FROM board", CV_SQL, BOARD_SQL, recursive=True),
 )
 def _(spark, folder):
-    return tidy(score_models(_cv(spark, folder), ["Naive", "SeasonalNaive"]))
+    return tidy(score_models(_cv(spark, folder), list(CANDIDATES)))
 
 
 @query(
     "cv_summary",
     sql(
         f"""SELECT {rnd('avg(r)', 'mean')}, {rnd('stddev_pop(r)', 'std')}, {rnd('min(r)', 'min')},
-        {rnd('max(r)', 'max')} FROM (SELECT cutoff, {cv_rmsle('snaive')} AS r FROM cv GROUP BY 1)""",
-        CV_SQL,
+        {rnd('max(r)', 'max')} FROM (SELECT cutoff, {cv_rmsle('snaive')} AS r FROM nv GROUP BY 1)""",
+        NAIVE_CV_SQL,
     ),
 )
 def _(spark, folder):
-    cv = _cv(spark, folder)
+    cv = cross_validate(long_panel(spark, folder, stored=True), DAYS, ["SeasonalNaive"], n_windows=3, step=8)
     per_window = row_metrics(cv, "y", "SeasonalNaive", by=["cutoff"])
     return tidy(cv_summary(per_window, "rmsle"))
 
 
+WINNER_SQL = """
+picked AS (SELECT w.model, h.uid, h.ds, CASE w.model WHEN 'Naive' THEN n.sales
+         WHEN 'SeasonalNaive' THEN s.sales WHEN 'Theta' THEN t.forecast ELSE e.forecast END AS forecast
+       FROM (SELECT model FROM board ORDER BY rmsle, model LIMIT 1) w, ah h
+       JOIN panel n ON n.uid = h.uid AND n.date = (SELECT hi FROM rng)
+       JOIN panel s ON s.uid = h.uid
+         AND s.date = (SELECT hi FROM rng) - 6 + CAST((h.step - 1) % 7 AS INTEGER)
+       JOIN theta t ON t.uid = concat(h.uid, '@', (SELECT hi FROM rng)) AND t.ds = h.ds
+       JOIN ets e ON e.uid = t.uid AND e.ds = t.ds)"""
+
+
 @query(
     "cv_winner_refit",
     sql(
-        f"""SELECT CASE WHEN sn < nv THEN 'SeasonalNaive' ELSE 'Naive' END AS model,
-        a.uid AS unique_id, {day('a.ds', 'ds')},
-        CASE WHEN sn < nv THEN s.sales ELSE n.sales END AS forecast
-        FROM ah a JOIN panel n ON n.uid = a.uid AND n.date = (SELECT hi FROM rng)
-        JOIN panel s ON s.uid = a.uid
-          AND s.date = (SELECT hi FROM rng) - 6 + CAST((a.step - 1) % 7 AS INTEGER),
-        (SELECT {cv_rmsle('naive')} AS nv, {cv_rmsle('snaive')} AS sn FROM cv)""",
-        AHEAD,
+        f"SELECT model, uid AS unique_id, {day('ds')}, {rnd('forecast', 'forecast', 3)} FROM picked",
         CV_SQL,
+        BOARD_SQL,
+        AHEAD,
+        WINNER_SQL,
+        recursive=True,
     ),
 )
 def _(spark, folder):
     winner, out = refit_winner(
-        long_panel(spark, folder, stored=True), DAYS, ["Naive", "SeasonalNaive"], n_windows=3, step=8
+        long_panel(spark, folder, stored=True), DAYS, list(CANDIDATES), n_windows=3, step=8
     )
-    return tidy(out.withColumn("model", F.lit(winner)))
+    return tidy(out.withColumn("model", F.lit(winner)), 3)
 
 
 @query(

@@ -243,7 +243,10 @@ def rolling_origins(
 ) -> DataFrame:
     """Training rows once per cutoff they belong to, with the ``cutoff`` date.
 
-    Cutoffs count back on the distinct dates: the last leaves ``h`` dates to score.
+    Cutoffs count back on the distinct dates: the last leaves ``h`` dates to score. History is
+    exchanged by series first and multiplied inside the tasks, so every row crosses the network
+    once however many cutoffs there are; what groups by series and cutoff afterwards needs no
+    further exchange, and forecasters of one evaluation read the same one.
     """
     step = step or h
     places = [h + step * i for i in range(n_windows)]
@@ -252,7 +255,9 @@ def rolling_origins(
         F.array(*[F.get(F.col("_latest"), F.lit(p)) for p in places]), lambda c: c.isNotNull()
     )
     return (
-        history.withColumn("_latest", latest)
+        history.select("unique_id", "ds", "y")
+        .repartition("unique_id")
+        .withColumn("_latest", latest)
         .withColumn("cutoff", F.explode(cuts))
         .filter(F.col("ds") <= F.col("cutoff"))
         .select("unique_id", "ds", "y", "cutoff")

@@ -102,6 +102,33 @@ def test_cv_hides_the_future(panel_of):
     assert [r["y"] for r in rows] == [float(v) for v in range(50, 60)]
 
 
+def test_cv_of_smoothing_models_equals_a_forecast_per_cutoff(panel_of):
+    rng = np.random.default_rng(4)
+    week = [9, 4, 6, 2, 8, 1, 5]
+    made = {(s, "A"): [10 * s + week[i % 7] + rng.normal() + 0.05 * i for i in range(n)] for s, n in ((1, 90), (2, 70))}
+    h = long(panel_of(made)).cache()
+    models = ["Theta", "AutoETS", "Naive"]
+    cv = cross_validate(h, 5, models, n_windows=3, step=4)
+    rows = cv.collect()
+    cutoffs = sorted({r["cutoff"] for r in rows})
+    assert len(cutoffs) == 3
+    got = {(r["cutoff"], r["unique_id"], r["ds"]): [r[m] for m in models] for r in rows}
+    want = {}
+    for c in cutoffs:
+        for r in forecast(h.filter(F.col("ds") <= F.lit(c)), 5, models).collect():
+            want[c, r["unique_id"], r["ds"]] = [r[m] for m in models]
+    assert set(got) <= set(want)  # a forecast beyond the known days has nothing to be scored on
+    assert all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_cv_exchanges_history_once_by_series(panel_of):
+    h = long(panel_of({(1, "A"): range(60)}))
+    plan = cross_validate(h, 5, ["Theta", "AutoETS"], n_windows=3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(unique_id" in plan
+    # the forecasts alone, a row a day ahead, are exchanged by series and cutoff
+    assert plan.count("hashpartitioning(unique_id#") - plan.count("REPARTITION_BY_COL") <= 4
+
+
 def test_winner_is_refitted_on_everything(panel_of):
     week = [1, 9, 2, 8, 3, 7, 4]
     h = long(panel_of({(1, "A"): [week[i % 7] for i in range(70)]}))

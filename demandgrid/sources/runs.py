@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from demandgrid.sources.schemas import RUN_RECORD, SUBMISSION
 
+MODEL_FOLDER = "model"  # where a run keeps its fitted model
+
 RUN_ROWS = (
     "run string, val_rmsle double, n_features int, model_type string, run_scope string,"
     " elapsed_seconds double"
@@ -17,7 +20,7 @@ RUN_ROWS = (
 
 
 def _run_name() -> Column:
-    return F.regexp_extract(F.input_file_name(), r"/([^/]+)/(?:metrics\.json|submission\.csv)", 1)
+    return F.regexp_extract(F.input_file_name(), r"/([^/]+)/(?:metrics\.json|submission\.csv|model/encoding)", 1)
 
 
 def _missing(err: AnalysisException) -> bool:
@@ -33,10 +36,16 @@ def write_run(folder: str, record: DataFrame, submission: DataFrame | None = Non
         )
 
 
-def scan_submissions(spark: SparkSession, runs: str) -> DataFrame:
-    """All submissions of a runs folder in one scan: run, id, sales."""
+def _one(run: str) -> str:
+    """Path pattern that means the folder of this very name."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", run)
+
+
+def scan_submissions(spark: SparkSession, runs: str, run: str | None = None) -> DataFrame:
+    """Submissions of a runs folder in one scan: run, id, sales; of one run only its file is read."""
+    part = "*" if run is None else _one(run)
     try:
-        raw = spark.read.schema(SUBMISSION).option("header", True).csv(f"{runs}/*/submission.csv")
+        raw = spark.read.schema(SUBMISSION).option("header", True).csv(f"{runs}/{part}/submission.csv")
     except AnalysisException as err:
         if not _missing(err):
             raise
@@ -44,17 +53,20 @@ def scan_submissions(spark: SparkSession, runs: str) -> DataFrame:
     return raw.select(_run_name().alias("run"), "id", "sales")
 
 
-def load_runs(spark: SparkSession, runs: str, scope: str | None = None) -> DataFrame:
-    """One row per run that has metrics.
+def load_runs(
+    spark: SparkSession, runs: str, scope: str | None = None, run: str | None = None
+) -> DataFrame:
+    """One row per run that has metrics; with ``run`` only that run's folder is read.
 
     A run without a scope passes every scope filter; a text that is no number gives
     a missing ``n_features``.
     """
+    part = "*" if run is None else _one(run)
     try:
         raw = (
             spark.read.schema(RUN_RECORD)
             .option("multiLine", True)
-            .json(f"{runs}/*/metrics.json")
+            .json(f"{runs}/{part}/metrics.json")
             .filter(F.col("metrics").isNotNull())
         )
     except AnalysisException as err:
@@ -74,23 +86,22 @@ def load_runs(spark: SparkSession, runs: str, scope: str | None = None) -> DataF
     )
     if scope is not None:
         rows = rows.filter(F.col("run_scope").isNull() | (F.col("run_scope") == scope))
-    have = scan_submissions(spark, runs).select("run").distinct()
+    have = scan_submissions(spark, runs, run).select("run").distinct()
     return rows.join(have.withColumn("_sub", F.lit(True)), "run", "left").select(
         *rows.columns, F.coalesce("_sub", F.lit(False)).alias("has_submission")
     )
 
 
-def load_all_submissions(spark: SparkSession, runs: str, test: DataFrame) -> DataFrame:
-    """Every run's forecasts on the keys of ``test``; ids without forecast stay NULL."""
-    subs = scan_submissions(spark, runs).withColumnRenamed("sales", "predicted")
+def _on_test_rows(subs: DataFrame, test: DataFrame, types: DataFrame) -> DataFrame:
+    """Each run of ``subs`` on the keys of ``test``."""
+    subs = subs.withColumnRenamed("sales", "predicted")
     names = subs.select("run").distinct()
     grid = test.select("id", "date", "store_nbr", "family").withColumn(
         "run", F.explode(names.agg(F.collect_set("run").alias("r")).scalar())
     )
-    types = load_runs(spark, runs).select("run", "model_type")
     return (
         grid.join(subs, ["run", "id"], "left")
-        .join(types, "run", "left")
+        .join(types.select("run", "model_type"), "run", "left")
         .select(
             "run",
             F.coalesce("model_type", F.lit("?")).alias("model_type"),
@@ -105,10 +116,20 @@ def load_all_submissions(spark: SparkSession, runs: str, test: DataFrame) -> Dat
     )
 
 
+def load_all_submissions(spark: SparkSession, runs: str, test: DataFrame) -> DataFrame:
+    """Every run's forecasts on the keys of ``test``; ids without forecast stay NULL."""
+    return _on_test_rows(scan_submissions(spark, runs), test, load_runs(spark, runs))
+
+
 def load_submission_predictions(
     spark: SparkSession, runs: str, run: str, test: DataFrame
 ) -> DataFrame:
-    return load_all_submissions(spark, runs, test).filter(F.col("run") == run)
+    """One run's forecasts on the keys of ``test``: its two files are all that is read.
+
+    A run without a submission gives no row.
+    """
+    subs = scan_submissions(spark, runs, run)
+    return _on_test_rows(subs, test, load_runs(spark, runs, run=run))
 
 
 def rank_runs(runs: DataFrame) -> DataFrame:
@@ -162,6 +183,25 @@ def preferred_runs(runs: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return scored.filter(F.col("run").isin(taken)).orderBy(order)
 
 
+def discover_runs(
+    spark: SparkSession, runs: str, scope: str | None = "full", patterns: Sequence[str] = ()
+) -> DataFrame:
+    """The runs a comparison starts from: scored, of the scope, with a stored model.
+
+    The ``sandbox`` folder is none, and a run without a scope fits any. Which of the others are
+    taken is the rule of ``preferred_runs``; without patterns the best of each model type.
+    """
+    try:
+        stored = spark.read.parquet(f"{runs}/*/{MODEL_FOLDER}/encoding")
+    except AnalysisException as err:
+        if not _missing(err):
+            raise
+        return load_runs(spark, runs, scope).limit(0)
+    have = stored.filter("part = 'kind'").select(_run_name().alias("run")).distinct()
+    rows = load_runs(spark, runs, scope).filter(F.col("run") != "sandbox")
+    return preferred_runs(rows.join(have, "run", "left_semi"), patterns)
+
+
 def latest_run(runs: DataFrame, label: str) -> DataFrame:
     """Most recent finished run whose name ends with ``label`` (names start with a stamp)."""
     return (

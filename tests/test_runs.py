@@ -1,13 +1,17 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from demandgrid.sources.runs import (
+    MODEL_FOLDER,
     best_per_type,
+    discover_runs,
     latest_run,
     load_all_submissions,
     load_runs,
+    load_submission_predictions,
     pick_best,
     preferred_runs,
     rank_runs,
@@ -88,6 +92,34 @@ def test_submissions_meet_test_rows(spark, runs):
     assert out.filter("run like '%broken' and model_type <> '?'").count() == 0
 
 
+def test_one_run_reads_its_own_files(spark, runs):
+    test = spark.createDataFrame(
+        [(1, "2017-01-01", 1, "A"), (3, "2017-01-01", 2, "A")],
+        "id bigint, date string, store_nbr bigint, family string",
+    )
+    every = load_all_submissions(spark, runs, test)
+    for name in ("20240102_log-ridge+fourier", "20240107_broken", "20240105_nosub", "2024010*"):
+        got = load_submission_predictions(spark, runs, name, test)
+        want = every.filter(F.col("run") == name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    files = scan_submissions(spark, runs, "20240103_boosted").inputFiles()
+    assert len(files) == 1 and files[0].endswith("20240103_boosted/submission.csv")
+
+
+def test_discovery_wants_score_scope_and_model(spark, runs, tmp_path):
+    assert discover_runs(spark, runs).count() == 0
+    facts = spark.createDataFrame([("kind", 0, "linear"), ("weight", 0, "1")], "part string, place int, value string")
+    shutil.copytree(tmp_path / "20240103_boosted", tmp_path / "sandbox")
+    for run in tmp_path.iterdir():
+        if not run.name.startswith("20240101"):
+            facts.write.parquet(f"{run}/{MODEL_FOLDER}/encoding")
+    names = lambda **kw: [r["run"] for r in discover_runs(spark, runs, **kw).collect()]
+    assert names() == ["20240105_nosub", "20240102_log-ridge+fourier"]
+    assert names(patterns=["open", "log-ridge"]) == ["20240104_open"]
+    assert names(scope="smoke") == ["20240103_boosted"]
+    assert names(scope=None, patterns=["boosted"]) == ["20240103_boosted"]
+
+
 def test_no_runs(spark, tmp_path):
     empty = str(tmp_path / "none")
     assert load_runs(spark, empty).count() == 0

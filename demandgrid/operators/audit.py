@@ -22,7 +22,7 @@ from demandgrid.operators.encode import Ordinal, standardized
 from demandgrid.operators.models import fit_ridge
 from demandgrid.operators.prep import fill_missing, first_per_key
 from demandgrid.operators.quantiles import exact_quantiles
-from demandgrid.operators.ranks import hashed_rank, series_hash
+from demandgrid.operators.ranks import digest_bound, series_hash
 from demandgrid.session import materialize
 
 # fixed values: columns offered to residual discovery
@@ -229,8 +229,8 @@ def multiaccuracy_audit(
     """Ridge on the log residual, scored on a random quarter: is structure left?
 
     One row per coefficient, the ten largest by size, with R2 and the row counts. The
-    holdout is exactly the first quarter in the order of a seeded row digest; ranks are
-    written once for the fit and the score.
+    holdout is exactly the first quarter in the order of a seeded row digest (rows of one key
+    stay together); the quarter's last digest is selected by counts, no row is ranked.
     """
     spark = val.sparkSession
     schema = "r2 double, n_train bigint, n_val bigint, feature string, coef double"
@@ -239,9 +239,9 @@ def multiaccuracy_audit(
         return spark.createDataFrame([(None, 0, 0, None, None)], schema)
     rows, names = _encoded(val, features)
     key = F.concat_ws("-", *[F.col(c) for c in ROW_KEY], F.lit(seed))
-    n_val = max(1, int(n * val_frac))
-    placed = materialize(hashed_rank(rows, key, ROW_KEY, "_rank"), "placed")
-    train, held = placed.filter(F.col("_rank") >= n_val), placed.filter(F.col("_rank") < n_val)
+    placed = materialize(rows.withColumn("_digest", F.md5(key)), "placed")
+    bound = digest_bound(placed, "_digest", max(1, int(n * val_frac)))
+    train, held = placed.filter(F.col("_digest") >= bound), placed.filter(F.col("_digest") < bound)
     model = fit_ridge(train, names, "log_resid", alpha)
     y, p = F.col("log_resid"), model.predict(names)
     got = held.agg(
@@ -252,7 +252,7 @@ def multiaccuracy_audit(
     r2 = None if not got["sst"] else 1.0 - got["sse"] / got["sst"]
     top = sorted(zip(names, model.coefficients), key=lambda nc: -abs(nc[1]))[:10]
     return spark.createDataFrame(
-        [(r2, n - n_val, n_val, c.removeprefix("_x_"), float(w)) for c, w in top], schema
+        [(r2, n - got["n_val"], got["n_val"], c.removeprefix("_x_"), float(w)) for c, w in top], schema
     )
 
 

@@ -35,6 +35,31 @@ def hashed_rank(df: DataFrame, key: Column, ties: Sequence[str], name: str) -> D
     )
 
 
+def digest_bound(df: DataFrame, digest: str, k: int) -> str:
+    """A text that the ``k`` smallest hexadecimal digests of one length lie below, and no other.
+
+    Found three digits at a time: each step counts the digests that share the digits known so
+    far by the next three, at most 4096 rows, so no row is ranked or sorted. Rows of equal
+    digests stay together.
+    """
+    prefix, taken, whole = "", 0, df.select(F.max(F.length(digest))).head()[0] or 0
+    while True:
+        cells = (
+            df.filter(F.col(digest).startswith(prefix))
+            .groupBy(F.substring(digest, len(prefix) + 1, 3).alias("next"))
+            .count().orderBy("next").collect()
+        )
+        for cell in cells:
+            if taken + cell["count"] >= k:
+                break
+            taken += cell["count"]
+        else:
+            return "g"  # above every digit: all rows
+        prefix += cell["next"]
+        if taken + cell["count"] == k or len(prefix) >= whole:
+            return prefix + "g"
+
+
 def series_position(
     df: DataFrame, keys: Sequence[str], date: str, name: str, chunk_days: int = 512
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.operators.encode import OneHot, Ordinal, standardized
 from demandgrid.operators.prep import union_with_origin
-from demandgrid.operators.ranks import hashed_rank, series_position
+from demandgrid.operators.ranks import digest_bound, hashed_rank, series_position
 from demandgrid.operators.windows import history_features, lag_roll_features
 from demandgrid.plans.features import feature_roles, make_features
 from demandgrid.settings import FeatureSettings, Roll
@@ -130,3 +130,16 @@ def test_sparse_vectors_hold_the_same_columns(spark):
     dense = {r["id"]: list(r)[1:] for r in enc.transform(new, keep=["id"]).collect()}
     sparse = {r["id"]: list(r["v"]) for r in enc.vectors(new, "v", keep=["id"]).collect()}
     assert dense == sparse and len(dense) == 5
+
+
+@pytest.mark.parametrize("k", [1, 7, 250, 999, 1000, 1001])
+def test_digest_bound_takes_exactly_the_smallest(spark, k):
+    df = spark.range(1000).withColumn("d", F.md5(F.col("id").cast("string")))
+    bound = digest_bound(df, "d", k)
+    want = sorted(r["d"] for r in df.collect())[:k]
+    assert sorted(r["d"] for r in df.filter(F.col("d") < bound).collect()) == want
+
+
+def test_digest_bound_keeps_equal_digests_together(spark):
+    df = spark.createDataFrame([("aa",)] * 3 + [("ab",)] * 3 + [("ac",)], "d string")
+    assert df.filter(F.col("d") < digest_bound(df, "d", 2)).count() == 3

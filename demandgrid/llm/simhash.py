@@ -32,27 +32,40 @@ PROBE_COST = 2000.0  # of a shuffled probe, in verified candidates
 SLICE_BYTES = 4 << 20
 
 
-def simhash(data: bytes | None, shingle: int = 4, seed: int = 42, words: int = 1) -> list[int]:
-    """Fingerprint words of UTF-8 bytes: majority of the shingles' hashes in each bit, 0 if no words.
+def shingle_hashes(data: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of words, repeats included; fewer words than a shingle are one.
 
-    A-Z count as lower case, words end at ASCII white space; fewer words than a shingle are one.
-    The first word is of the hashes themselves, further ones of the hashes mixed anew.
+    A-Z count as lower case, words end at ASCII white space; without words there is none.
     """
     tokens = (data or b"").lower().split()
     n = len(tokens)
     if not n:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in tokens)]
-        starts = [0, *(e + 1 for e in ends[: n - shingle])]
-        hashes = np.fromiter(
-            (digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)),
-            np.uint64, n - shingle + 1,
-        )
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in tokens)]
+    starts = [0, *(e + 1 for e in ends[: n - shingle])]
+    return np.fromiter(
+        (digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)),
+        np.uint64, n - shingle + 1,
+    )
+
+
+def simhash(
+    data: bytes | None, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False
+) -> list[int]:
+    """Fingerprint words of UTF-8 bytes: majority of the shingles' hashes in each bit, 0 if no words.
+
+    The first word is of the hashes themselves, further ones of the hashes mixed anew. Repeats
+    of a shingle count, unless ``distinct``.
+    """
+    hashes = shingle_hashes(data, shingle, seed)
+    if not len(hashes):
+        return [0] * words
+    if distinct:
+        hashes = np.unique(hashes)
     ones = np.zeros((words, BITS), np.int64)
     for at in range(0, len(hashes), 255 * 256):
         ones += _set_bits(_mixed(hashes[at : at + 255 * 256], words))
@@ -87,7 +100,8 @@ def word_names(name: str, words: int) -> list[str]:
 
 
 def fingerprints(
-    docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "simhash", words: int = 1
+    docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "simhash", words: int = 1,
+    distinct: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` but the text, and its fingerprint words as signed 64-bit integers."""
     raw = free_name(docs, "_raw")
@@ -99,7 +113,9 @@ def fingerprints(
         for batch in batches:
             for part in slices(batch, len(kept), SLICE_BYTES):
                 texts = part.column(len(kept)).to_pylist()
-                found = np.array([simhash(t, shingle, words=words) for t in texts], np.uint64).view(np.int64)
+                found = np.array(
+                    [simhash(t, shingle, words=words, distinct=distinct) for t in texts], np.uint64
+                ).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(kept))), *(pa.array(c) for c in found.T)],
                     names=schema.names,

@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again as the next's input.
 
 1. language: documents whose language is rejected go
-2. near_duplicates: of documents with linked SimHash fingerprints the smallest id stays
+2. near_duplicates: SimHash proposes pairs, shingles verify them; of each group the smallest id stays
 3. substrings: words of passages that repeat go
 4. secrets: secrets are masked
 5. packing: the rest is packed into sequences of tokens
@@ -12,16 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import language, packing, secrets, simhash, substrings
-from demandgrid.llm.common import held_out, table
+from demandgrid.llm import language, near_copies, packing, secrets, substrings
+from demandgrid.llm.common import free_name, held_out, table
 from demandgrid.llm.queries import TOKENIZER
 from demandgrid.session import materialize
 
-SHINGLE = 5  # words
-#: Near copies are within MAX_BITS on one of the WORDS of 64 bits and within TOTAL_BITS over all.
-#: Texts with a shingle similarity of 0.8 differ in 58 of 384 bits on average, deviation 7.
-WORDS, MAX_BITS, TOTAL_BITS = 6, 7, 70
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; narrow leads and texts without letters go."""
@@ -30,17 +25,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies.
+    """Keeps one document of each group of near copies: that with the smallest id.
 
-    Texts without words are no copies of each other and stay, as do rows of a null id. Of
-    repeated rows of one id one stays.
+    Links are pairs with a similarity of 0.8 or more on shingles of five words. Rows of null ids
+    take part and come after all others; different texts under one id are judged on their own,
+    of repeated rows one stays. Texts without words are no copies of each other and stay.
     """
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    grouped = simhash.near_duplicates(
-        docs.where(worded), MAX_BITS, SHINGLE, words=WORDS, total_bits=TOTAL_BITS
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest, first_id, first_digest = (free_name(docs, n) for n in ("_digest", "_first", "_first_digest"))
+    first = near_copies.near_copies(docs).select(
+        F.col("doc_id").alias(first_id), F.col("digest").alias(first_digest)
     )
-    first = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where(worded).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(worded).withColumn(digest, F.sha1(F.col("text").cast("binary")))
+    same = F.col("doc_id").eqNullSafe(F.col(first_id)) & (F.col(digest) == F.col(first_digest))
+    kept = named.join(first, same, "left_semi").dropDuplicates(["doc_id", digest])
     return kept.select(*docs.columns).union(docs.where(~worded))
 
 

@@ -6,19 +6,20 @@ over the distinct shingles propose pairs. At a similarity of 0.8 two texts diffe
 bits: some word is within ``MAX_BITS`` with a chance of 0.99, all are within ``TOTAL_BITS`` with
 0.999. Texts of fewer than a dozen shingles deviate more, their chance is lower.
 
-Inside a component of proposed links, pairs are verified in rounds. The first two propose a
+Inside a component of proposed links, pairs are verified in rounds. The first two verify a
 spanning forest of the links between parts not yet joined, each from other centres, so a family of
-M copies costs about M verifications; the last proposes every near pair of parts that are still
-apart, so nothing hangs on which links a forest happened to hold.
+M copies costs about M verifications. The last compares, inside tasks, every near pair of parts that
+are still apart, so nothing hangs on which links a forest happened to hold: the largest part is
+dealt once for each block of the others, never with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.llm import simhash
@@ -31,8 +32,9 @@ PERCENT = 80  # of two texts' shingles that are shared
 WORDS, MAX_BITS, TOTAL_BITS = 7, 9, 92
 BLOCK = 8192  # members of a component that meet in one task, twice at most
 ROWS = 64  # of a block that are compared with the rest at once
-BATCH = 1 << 16  # pairs of an Arrow batch
 FORESTS = 2  # rounds of verified forests before all near pairs that are left
+HASHES = 1 << 20  # shingles of a block in the last round
+TRIED = 256  # sets that are compared with a set at once
 _NAMES = simhash.word_names("simhash", WORDS)
 _LINK = "a long, b long, label_a long, label_b long"
 
@@ -93,8 +95,8 @@ def close_pairs(
             i, j = i[apart], j[apart]
 
 
-def candidates(members: DataFrame, turn: int, forest: bool) -> DataFrame:
-    """(a, b, label_a, label_b): near nodes of one root and different labels.
+def candidates(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, label_a, label_b): forests of near nodes of one root and different labels.
 
     Components over ``BLOCK`` members are dealt in pairs of blocks; the first turn leaves it at the
     blocks themselves, whose forests make few parts of many members.
@@ -128,11 +130,8 @@ def candidates(members: DataFrame, turn: int, forest: bool) -> DataFrame:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = slice(lo, hi)
                 across = bool((block[own] != block[lo]).any())
-                for i, j in close_pairs(wide[own], label[own], block[own], across, forest, order[own]):
+                for i, j in close_pairs(wide[own], label[own], block[own], across, True, order[own]):
                     held.append((i + lo, j + lo))
-                    if not forest and sum(len(x) for x, _ in held) > BATCH:
-                        yield links(held, node, label)
-                        held = []
             if held:
                 yield links(held, node, label)
 
@@ -152,6 +151,100 @@ def verified(links: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
+def remaining(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(label_a, label_b): verified links that join the labels of a root as all near pairs would.
+
+    Members outside the root's largest label are dealt in blocks of about ``HASHES`` shingles that
+    meet each other and the blocks of the largest label; the sets travel with the members.
+    """
+    dressed = members.join(sets, "node").withColumn("weight", F.size("shingles").cast("long"))
+    sizes = dressed.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    rank = F.struct("n", "label")
+    heads = sizes.groupBy("root").agg(
+        F.max_by("label", rank).alias("head"), F.max_by("weight", rank).alias("heavy"), F.sum("weight").alias("all")
+    )
+    main, few, many = F.col("label") == F.col("head"), F.col("few"), F.col("many")
+    mine = F.pmod(F.xxhash64("node"), F.when(main, many).otherwise(few))
+
+    def each(n: Column, task: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), task)
+
+    own = F.col("block")
+    others = each(few, lambda j: F.least(j, own) * few + F.greatest(j, own))
+    meets = F.when(main, each(few, lambda p: few * few + p * many + own)).otherwise(
+        F.concat(others, each(many, lambda q: few * few + own * many + q))
+    )
+    dealt = (
+        dressed.join(
+            heads.select(
+                "root", "head", F.ceil((F.col("all") - F.col("heavy")) / HASHES).alias("few"),
+                F.ceil(F.col("heavy") / HASHES).alias("many"),
+            ),
+            "root",
+        )
+        .withColumn("block", mine)
+        .select(
+            "root", F.explode(meets).alias("pair"), F.when(main, F.lit(-1)).otherwise(own).alias("side"),
+            "label", "shingles", *_NAMES,
+        )
+        .repartition("root", "pair").sortWithinPartitions("root", "pair")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bounds in whole_groups(batches, (0, 1)):
+            side, label = (group.column(k).to_numpy() for k in (2, 3))
+            lists = group.column(4).combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            wide = np.stack([group.column(5 + k).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+            found = []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part, across = slice(lo, hi), bool((side[lo:hi] != side[lo]).any())
+                near = close_pairs(wide[part], label[part], side[part], across, False, np.arange(hi - lo))
+                pairs = ((i + lo, j + lo) for i, j in near)
+                found += verified_forest(pairs, label, flat, ends, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in np.array(found, np.int64).T], ["label_a", "label_b"]
+                )
+
+    return dealt.mapInArrow(released(run), "label_a long, label_b long")
+
+
+def verified_forest(
+    pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, flat: np.ndarray, ends: np.ndarray,
+    percent: int,
+) -> list[tuple[int, int]]:
+    """Label pairs that join as the similar ones of ``pairs`` do; member i's set is ``flat[ends[i]:ends[i + 1]]``."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in over:
+            x = over[x]
+        return x
+
+    found = []
+    for firsts, seconds in pairs:
+        for i in np.unique(firsts).tolist():
+            x, left = flat[ends[i] : ends[i + 1]], seconds[firsts == i]
+            while len(left):
+                mine = top(int(label[i]))
+                apart = {v for v in np.unique(label[left]).tolist() if top(v) != mine}
+                left = left[np.isin(label[left], list(apart))] if apart else left[:0]
+                tried, left = left[:TRIED], left[TRIED:]
+                if not len(tried):
+                    break
+                size = ends[tried + 1] - ends[tried]
+                every = np.concatenate([flat[ends[j] : ends[j + 1]] for j in tried.tolist()])
+                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                shared = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size) - size)
+                for j in tried[100 * shared >= percent * (len(x) + size - shared)].tolist():
+                    a, b = top(int(label[i])), top(int(label[j]))
+                    if a != b:
+                        over[b] = a
+                        found.append((int(label[i]), int(label[j])))
+    return found
+
+
 def _labelled(members: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(node, label) of all members: equal labels are connected by verified links."""
     wanted = members.select("node", F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest"))
@@ -164,7 +257,7 @@ def _labelled(members: DataFrame, rows: DataFrame, percent: int, shingle: int) -
         open_ = materialize(members.join(apart, "root", "left_semi"), "open")
         if open_.isEmpty():
             break
-        links = verified(candidates(open_, turn, forest=turn < FORESTS), sets, percent)
+        links = verified(candidates(open_, turn), sets, percent) if turn < FORESTS else remaining(open_, sets, percent)
         parts = connected_components(links, "label_a", "label_b")
         renamed = parts.select(F.col("node").alias("label"), F.col("component"))
         members = materialize(

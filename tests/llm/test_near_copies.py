@@ -79,9 +79,11 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", None, 1, 2) for i, t in rows], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("block", [8192, 4])
-def test_groups_are_those_of_all_pairs(spark, rows, block, monkeypatch):
+@pytest.mark.parametrize("block, forests", [(8192, 2), (4, 2), (4, 0)])
+def test_groups_are_those_of_all_pairs(spark, rows, block, forests, monkeypatch):
+    monkeypatch.setattr(near_copies, "FORESTS", forests)  # without any the last round does all
     monkeypatch.setattr(near_copies, "BLOCK", block)  # components of several blocks
+    monkeypatch.setattr(near_copies, "HASHES", 128 * block)
     got = sorted(
         ((r["doc_id"], r["digest"], r["members"]) for r in near_copies.near_copies(docs_of(spark, rows)).collect()),
         key=str,
@@ -97,6 +99,7 @@ def test_candidates_below_the_similarity_do_not_join(spark, monkeypatch):
     sets = [shingles(c) for c in copies]
     assert sum(similar(a, b) for a in sets for b in sets) < 60
     monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "HASHES", 1500)
     alone = list(enumerate(copies))
     got = near_copies.near_copies(docs_of(spark, alone)).collect()
     assert sorted(((r["doc_id"], r["digest"], r["members"]) for r in got), key=str) == brute_rows(alone)

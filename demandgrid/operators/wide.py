@@ -3,13 +3,17 @@
 Levels are numbered by a distributed distinct and joined to the rows; each row then is its numbers
 and one number a category. Newton steps are solved by conjugate gradients: a product with the
 Hessian is one map over the written rows, whose partial sums are added up by coefficient. Rows never
-become dense vectors; the driver holds a few arrays as long as the coefficients.
+become dense vectors. Numbers and categories of up to ``NARROW`` levels have their coefficients in
+arrays of the driver; those of wider categories stay in a written table with everything that the
+gradients need for them, joined to the rows for a product, and only totals reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from demandgrid.session import materialize
 
 SHARES = 64  # that levels are dealt to while they are numbered
+NARROW = 1 << 15  # levels of a category whose coefficients the driver holds
 
 
 def numbered_levels(df: DataFrame, col: str) -> DataFrame:
@@ -69,17 +74,25 @@ class WideLinear:
 
 @dataclass
 class _Problem:
-    """Rows as (y, x, ids): label, numbers and the coefficient of each category's level (-1: base)."""
+    """Rows as (y, x, ids, far): label, numbers and the coefficient of each category's level (-1: base).
+
+    ``ids`` are places in the driver's arrays; ``far`` has a level id for each category in ``wide``,
+    whose coefficients are rows (cat, id, beta) of a table.
+    """
 
     rows: DataFrame
-    size: int  # coefficients, the intercept first
+    size: int  # coefficients in arrays, the intercept first
     numbers: int
     power: float | None  # None: least squares
     penalty: float
+    wide: Sequence[int] = ()
 
-    def summed(self, beta: np.ndarray, direction: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """With ``direction``: the Hessian times it. Without: loss, gradient and the Hessian's diagonal."""
-        size, k, power = self.size, self.numbers, self.power
+    def _summed(
+        self, beta: np.ndarray, table: DataFrame | None, direction: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+        """Sums by coefficient, those of ``table`` as rows (cat, id, a, b). With ``direction`` (and the
+        column ``way``): the Hessian times it. Without: gradient, the loss behind it, and the Hessian's diagonal."""
+        size, k, power, wide = self.size, self.numbers, self.power, list(self.wide)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, second, loss = np.zeros(size), np.zeros(size), 0.0
@@ -90,31 +103,107 @@ class _Problem:
                 y = b.column(0).to_numpy(zero_copy_only=False)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
                 ids = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                eta = _linear(beta, x, ids)
+                far = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                eta = _linear(beta, x, ids) + b.column(4).to_numpy(zero_copy_only=False)
+                value, slope, curve = _terms(y, eta, power)
                 if direction is None:
-                    value, slope, curve = _terms(y, eta, power)
                     loss += float(value.sum())
                     _scatter(first, slope, x, ids)
                     _scatter(second, curve, x, ids, square=True)
                 else:
-                    curve = _terms(y, eta, power)[2]
-                    _scatter(first, curve * _linear(direction, x, ids), x, ids)
+                    slope = curve * (_linear(direction, x, ids) + b.column(5).to_numpy(zero_copy_only=False))
+                    _scatter(first, slope, x, ids)
+                for j, cat in enumerate(wide):
+                    live = far[:, j] >= 0
+                    at, place = np.unique(far[live, j], return_inverse=True)
+                    yield _sums(cat, at, np.bincount(place, slope[live], len(at)), np.bincount(place, curve[live], len(at)))
             at = np.flatnonzero((first != 0) | (second != 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1)), pa.array(np.append(first[at], loss)), pa.array(np.append(second[at], 0.0))],
-                names=["at", "a", "b"],
-            )
+            yield _sums(-1, np.append(at, -1), np.append(first[at], loss), np.append(second[at], 0.0))
 
-        sums = self.rows.mapInArrow(run, "at long, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        got = sums.toArrow()
-        at = got.column("at").to_numpy()
+        rows, known, bend = self.rows, F.lit(0.0), F.lit(0.0)
+        for j, cat in enumerate(wide):
+            named = table.where(F.col("cat") == cat).select(
+                F.col("id").alias(f"_id{j}"), F.col("beta").alias(f"_beta{j}"),
+                (F.lit(0.0) if direction is None else F.col("way")).alias(f"_way{j}"),
+            )
+            rows = rows.join(named, F.col("far")[j] == F.col(f"_id{j}"), "left")
+            known = known + F.coalesce(F.col(f"_beta{j}"), F.lit(0.0))
+            bend = bend + F.coalesce(F.col(f"_way{j}"), F.lit(0.0))
+        dressed = rows.select("y", "x", "ids", "far", known.alias("known"), bend.alias("bend"))
+        sums = (
+            dressed.mapInArrow(run, "cat int, id long, a double, b double")
+            .groupBy("cat", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        )
+        if wide:
+            sums = materialize(sums, "sums")
+        got = sums.where("cat < 0").toArrow()
+        at = got.column("id").to_numpy()
         a, b = np.zeros(size + 1), np.zeros(size + 1)
         a[at], b[at] = got.column("a").to_numpy(), got.column("b").to_numpy()  # -1 is the last place
-        ridge = np.full(size, self.penalty)
+        return a, b[:-1], sums.where("cat >= 0") if wide else None
+
+    def _ridge(self) -> np.ndarray:
+        ridge = np.full(self.size, self.penalty)
         ridge[0] = 0.0
-        if direction is not None:
-            return 0.0, a[:-1] + ridge * direction, b[:-1]
-        return float(a[-1] + 0.5 * (ridge * beta) @ beta), a[:-1] + ridge * beta, b[:-1] + ridge
+        return ridge
+
+    def state(self, beta: np.ndarray, table: DataFrame | None) -> _State:
+        """Loss, gradient and the Hessian's diagonal at the given coefficients."""
+        a, b, sums = self._summed(beta, table)
+        ridge = self._ridge()
+        loss = float(a[-1] + 0.5 * (ridge * beta) @ beta)
+        if sums is not None:
+            penalty = F.lit(float(self.penalty))
+            diagonal = F.coalesce("b", F.lit(0.0)) + penalty
+            table = materialize(
+                table.join(sums, ["cat", "id"], "left").select(
+                    "cat", "id", "beta", (F.coalesce("a", F.lit(0.0)) + penalty * F.col("beta")).alias("gradient"),
+                    F.when(diagonal > 0, 1.0 / diagonal).otherwise(1.0).alias("scale"),
+                ),
+                "state",
+            )
+            loss += 0.5 * self.penalty * _total(table, F.col("beta") * F.col("beta"))
+        diagonal = b + ridge
+        return _State(beta, loss, a[:-1] + ridge * beta, 1.0 / np.where(diagonal > 0, diagonal, 1.0), table)
+
+    def bent(self, beta: np.ndarray, way: np.ndarray, table: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
+        """The Hessian times a direction; in the table it is the column ``bent``."""
+        a, _, sums = self._summed(beta, table, way)
+        if sums is not None:
+            bent = F.coalesce("a", F.lit(0.0)) + F.lit(float(self.penalty)) * F.col("way")
+            table = materialize(
+                table.join(sums, ["cat", "id"], "left").select(*table.columns, bent.alias("bent")), "bent"
+            )
+        return a[:-1] + self._ridge() * way, table
+
+
+@dataclass
+class _State:
+    """Coefficients, with what the next Newton step needs; ``table`` has (cat, id, beta, gradient, scale)."""
+
+    beta: np.ndarray
+    loss: float
+    gradient: np.ndarray
+    scale: np.ndarray
+    table: DataFrame | None
+
+    def norm(self) -> float:
+        return math.sqrt(
+            float((self.gradient * self.scale) @ self.gradient) + _total(self.table, _square("gradient"))
+        )
+
+
+def _sums(cat: int, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array(np.full(len(at), cat, np.int32)), pa.array(at.astype(np.int64)), pa.array(a), pa.array(b)]
+    return pa.RecordBatch.from_arrays(cells, names=["cat", "id", "a", "b"])
+
+
+def _square(name: str) -> Column:
+    return F.col(name) * F.col(name) * F.col("scale")
+
+
+def _total(table: DataFrame | None, value: Column) -> float:
+    return 0.0 if table is None else float(table.agg(F.sum(value).alias("s")).head()["s"] or 0.0)
 
 
 def _linear(beta: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -143,24 +232,36 @@ def _terms(y: np.ndarray, eta: np.ndarray, power: float | None) -> tuple[np.ndar
     return rise / (2 - power) - y * fall / (1 - power), rise - y * fall, rise
 
 
-def _solve(problem: _Problem, beta: np.ndarray, gradient: np.ndarray, diagonal: np.ndarray, tol: float, most: int) -> np.ndarray:
-    """Newton direction by conjugate gradients, scaled by the diagonal."""
-    scale = 1.0 / np.where(diagonal > 0, diagonal, 1.0)
-    step, rest = np.zeros_like(beta), -gradient
-    z = scale * rest
-    way, size = z.copy(), float(rest @ z)
+def _solve(problem: _Problem, at: _State, tol: float, most: int) -> tuple[np.ndarray, DataFrame | None]:
+    """Newton direction by conjugate gradients, scaled by the diagonal; in the table it is the column ``step``."""
+    step, rest, table = np.zeros_like(at.beta), -at.gradient, at.table
+    z = at.scale * rest
+    way = z.copy()
+    if table is not None:
+        down = -F.col("gradient")
+        table = table.select(
+            "cat", "id", "beta", "scale", F.lit(0.0).alias("step"), down.alias("rest"), (down * F.col("scale")).alias("way")
+        )
+    size = float(rest @ z) + _total(table, _square("rest"))
     target = tol * tol * size
     for _ in range(most):
         if size <= target or size == 0:
             break
-        bent = problem.summed(beta, way)[1]
-        length = size / float(way @ bent)
+        bent, table = problem.bent(at.beta, way, table)
+        length = size / (float(way @ bent) + _total(table, F.col("way") * F.col("bent")))
         step += length * way
         rest = rest - length * bent
-        z = scale * rest
-        fresh = float(rest @ z)
-        way, size = z + fresh / size * way, fresh
-    return step
+        z = at.scale * rest
+        if table is not None:
+            table = table.withColumns({
+                "step": F.col("step") + F.lit(length) * F.col("way"), "rest": F.col("rest") - F.lit(length) * F.col("bent"),
+            }).drop("bent")
+        fresh = float(rest @ z) + _total(table, _square("rest"))
+        way = z + fresh / size * way
+        if table is not None:
+            table = table.withColumn("way", F.col("rest") * F.col("scale") + F.lit(fresh / size) * F.col("way"))
+        size = fresh
+    return step, table
 
 
 def fit_wide(
@@ -175,7 +276,7 @@ def fit_wide(
     the solver only by its diagonal. Raises for a table without labels.
     """
     labelled = df.filter(F.col(label).isNotNull())
-    tables, ids, offset = {}, [], 1 + len(numeric)
+    tables, ids, far, wide, places, offset = {}, [], [], [], {}, 1 + len(numeric)
     rows = labelled.select(
         F.col(label).cast("double").alias("_y"),
         F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numeric]).cast("array<double>").alias("_x"),
@@ -186,38 +287,55 @@ def fit_wide(
         named = tables[c].select(F.col("level").alias(f"_l{i}"), F.col("id").alias(f"_id{i}"))
         rows = rows.join(named, F.col(f"_c{i}") == F.col(f"_l{i}"), "left")
         # the base level, id 0, has no coefficient
-        ids.append(F.when(F.col(f"_id{i}") > 0, F.col(f"_id{i}") + F.lit(offset - 1)).otherwise(F.lit(-1)).cast("long"))
-        offset += max(tables[c].count() - 1, 0)
-    cells = F.array(*ids) if ids else F.array().cast("array<long>")
-    rows = materialize(rows.select(F.col("_y").alias("y"), F.col("_x").alias("x"), cells.alias("ids")), "wide")
+        count, known = max(tables[c].count() - 1, 0), F.col(f"_id{i}") > 0
+        if count > NARROW:
+            wide.append(i)
+            far.append(F.when(known, F.col(f"_id{i}")).otherwise(F.lit(-1)).cast("long"))
+        else:
+            places[c] = offset
+            ids.append(F.when(known, F.col(f"_id{i}") + F.lit(offset - 1)).otherwise(F.lit(-1)).cast("long"))
+            offset += count
+    cells, others = (F.array(*x) if x else F.array().cast("array<long>") for x in (ids, far))
+    rows = materialize(
+        rows.select(F.col("_y").alias("y"), F.col("_x").alias("x"), cells.alias("ids"), others.alias("far")), "wide"
+    )
     st = rows.agg(F.count("y").alias("n"), F.avg("y").alias("m")).head()
     if not st["n"]:
         raise ValueError("no labelled rows to fit")
-    problem = _Problem(rows, offset, len(numeric), power, alpha if power is None else alpha * st["n"])
+    problem = _Problem(rows, offset, len(numeric), power, alpha if power is None else alpha * st["n"], wide)
     beta = np.zeros(offset)
     beta[0] = st["m"] if power is None else np.log(max(st["m"], 1e-12))
-    loss, gradient, diagonal = problem.summed(beta)
-    first = np.linalg.norm(gradient / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)))
+    parts = [
+        tables[categorical[i]].where("id > 0").select(F.lit(i).alias("cat"), "id", F.lit(0.0).alias("beta")) for i in wide
+    ]
+    now = problem.state(beta, reduce(DataFrame.union, parts) if parts else None)
+    first = now.norm()
     for _ in range(steps):
-        way = _solve(problem, beta, gradient, diagonal, 1e-8, most)
+        way, table = _solve(problem, now, 1e-8, most)
         size = 1.0
         while size > 1e-6:  # full steps diverge on series that are mostly zero
-            tried = problem.summed(beta + size * way)
-            if tried[0] <= loss + 1e-12 * abs(loss):
+            moved = None if table is None else table.select(
+                "cat", "id", (F.col("beta") + F.lit(size) * F.col("step")).alias("beta")
+            )
+            tried = problem.state(now.beta + size * way, moved)
+            if tried.loss <= now.loss + 1e-12 * abs(now.loss):
                 break
             size /= 2
         else:
             break
-        beta = beta + size * way
-        loss, gradient, diagonal = tried
-        if np.linalg.norm(gradient / np.sqrt(np.where(diagonal > 0, diagonal, 1.0))) <= tol * first:
+        now = tried
+        if now.norm() <= tol * first:
             break
-    levels, at = {}, 1 + len(numeric)
-    for c in categorical:
-        levels[c] = _weight_table(tables[c], beta, at)
-        at += max(tables[c].count() - 1, 0)
-    names = dict(zip(numeric, beta[1 : 1 + len(numeric)].tolist()))
-    return WideLinear(float(beta[0]), names, levels, "identity" if power is None else "log")
+    levels = {}
+    for i, c in enumerate(categorical):
+        if c in places:
+            levels[c] = _weight_table(tables[c], now.beta, places[c])
+            continue
+        found = now.table.where(F.col("cat") == i).select("id", "beta")
+        weight = F.coalesce("beta", F.lit(0.0)).alias("weight")
+        levels[c] = materialize(tables[c].join(found, "id", "left").select("level", weight), "weights")
+    names = dict(zip(numeric, now.beta[1 : 1 + len(numeric)].tolist()))
+    return WideLinear(float(now.beta[0]), names, levels, "identity" if power is None else "log")
 
 
 def _weight_table(table: DataFrame, beta: np.ndarray, at: int) -> DataFrame:

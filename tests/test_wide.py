@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from demandgrid.operators import wide
 from demandgrid.operators.wide import fit_wide, numbered_levels
 
 
@@ -83,3 +84,20 @@ def test_wide_fit_without_categories_or_rows(spark):
     assert model.predict(df, "x").columns == ["a", "b", "y", "x"]
     with pytest.raises(ValueError):
         fit_wide(df.where(F.lit(False)), ["x"], ["a"], "y")
+
+
+@pytest.mark.parametrize(("power", "names", "narrow", "most"), [(None, ["a", "b"], 2, 4), (1.5, ["a"], 1, 2)])
+def test_coefficients_of_wide_categories_stay_in_tables(spark, monkeypatch, power, names, narrow, most):
+    rows = [(i * i % 7, "xyz"[i % 3], float(i % 4), float(i % 5)) for i in range(40)] + [(None, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "a long, b string, x double, y double").coalesce(2)
+
+    def fitted():
+        model = fit_wide(df, ["x"], names, "y", alpha=2.0, power=power, steps=1)
+        levels = [sorted(map(tuple, model.levels[c].collect())) for c in names]
+        return [model.intercept, model.numbers["x"], *(w for t in levels for _, w in t)]
+
+    want, held, state = fitted(), [], wide._State
+    monkeypatch.setattr(wide, "_State", lambda beta, *rest: held.append(len(beta)) or state(beta, *rest))
+    monkeypatch.setattr(wide, "NARROW", narrow)
+    np.testing.assert_allclose(fitted(), want, atol=1e-8)
+    assert max(held) == most  # arrays of the driver: intercept, x and the levels of a narrow b

@@ -18,6 +18,8 @@ from demandgrid.functions.errors import decode_target
 from demandgrid.operators.encode import OneHot, Ordinal
 from demandgrid.session import materialize
 
+CELLS = 1 << 20  # numbers of a task in a boosted fit
+
 
 @dataclass
 class Linear:
@@ -166,6 +168,12 @@ class TreeSettings:
     seed: int = 42
 
 
+def few_tasks(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` in tasks of ``CELLS`` numbers or more. A boosted fit runs a job for each level of each
+    tree, in which smaller tasks mostly wait for their start."""
+    return rows.coalesce(max(-(-rows.count() * width // CELLS), 1))
+
+
 def fit_trees(
     df: DataFrame, names: Sequence[str], label: str, settings: TreeSettings | None = None
 ):
@@ -186,7 +194,7 @@ def fit_trees(
         seed=s.seed,
     )
     keep = list(dict.fromkeys([*names, label]))
-    rows = materialize(df.filter(F.col(label).isNotNull()).select(*keep), "trees")
+    rows = few_tasks(materialize(df.filter(F.col(label).isNotNull()).select(*keep), "trees"), len(names))
     return PipelineModel([vec, gbt.fit(vec.transform(rows))])
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from demandgrid.operators import models
 from demandgrid.operators.models import Linear
 from demandgrid.operators.models import FittedPanelModel
 from demandgrid.operators.encode import OneHot
@@ -221,3 +222,12 @@ def test_boosted_panel_keeps_series_that_end_early_or_are_new(panel_of):
         got.setdefault(r["unique_id"], []).append(r["forecast"])
     # every difference is 1: each series goes on from its own last value
     assert got == {"1_A": [41.0, 42.0, 43.0], "2_A": [36.0, 37.0, 38.0], "3_A": [1.0, 2.0, 3.0]}
+
+
+def test_boosted_rows_are_dealt_by_their_size(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 8)
+    assert models.few_tasks(rows, 3).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "CELLS", 600)
+    assert models.few_tasks(rows, 3).rdd.getNumPartitions() == 5
+    assert models.few_tasks(rows, 30).rdd.getNumPartitions() == 8  # never more than there are
+    assert models.few_tasks(rows.limit(0), 3).count() == 0

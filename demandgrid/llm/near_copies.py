@@ -257,6 +257,8 @@ def _labelled(members: DataFrame, rows: DataFrame, percent: int, shingle: int) -
         open_ = materialize(members.join(apart, "root", "left_semi"), "open")
         if open_.isEmpty():
             break
+        if turn:  # most members are settled by now; later joins shuffle the sets of the others only
+            sets = materialize(sets.join(open_.select("node"), "node", "left_semi"), "shingles")
         links = verified(candidates(open_, turn), sets, percent) if turn < FORESTS else remaining(open_, sets, percent)
         parts = connected_components(links, "label_a", "label_b")
         renamed = parts.select(F.col("node").alias("label"), F.col("component"))

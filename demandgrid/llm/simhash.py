@@ -284,8 +284,9 @@ def near_pairs(
             lambda j: F.least(j, mine) * F.col("blocks") + F.greatest(j, mine),
         )
     )
+    # one key in BLOCK probes at most is hot, so the probes are never shuffled to find theirs
     dealt = (
-        probes.join(hot, ["mask", "key"], "left")
+        probes.join(F.broadcast(hot), ["mask", "key"], "left")
         .select("mask", "key", F.explode(pairs).alias("pair"), *values)
     )
     ends = [f"{end}_{k}" for end in "ab" for k in range(words)]

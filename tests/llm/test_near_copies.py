@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from demandgrid.llm import near_copies
+from demandgrid.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _digest int, _first int"
 
@@ -150,3 +150,17 @@ def test_close_pairs_join_as_all_pairs_do():
     assert any(label[a] == top for p in pairs for a in p)
     forest = [p for i, j in near_copies.close_pairs(wide, label, block, True, True, order) for p in zip(i, j)]
     assert len(forest) < 40
+
+
+def test_probes_are_shuffled_once(spark, capsys):
+    """Only to their groups, not to find out which keys are hot."""
+    rows = [tuple(1 << (i * k + i) % 63 for k in range(near_copies.WORDS)) for i in range(20)]
+    prints = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in near_copies._NAMES))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        simhash.near_pairs(prints, "simhash", near_copies.MAX_BITS, near_copies.WORDS, near_copies.TOTAL_BITS).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
